@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillrec.functions import text as tx
-from quillrec.functions.scores import safe_ratio
+from quillrec.functions.scores import safe_ratio, unit
 from quillrec.operators.ranks import quantile_of
 from quillrec.operators.topk import ranked_list, top_k
 
@@ -149,12 +151,8 @@ def top_tags(tags: DataFrame, tag_type: str = "genre", k: int = 10) -> DataFrame
 def mean_vectors(members: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
     """Unit-length mean of the members' unit vectors per key. `members`: (key, item_id).
 
-    Components are averaged by (key, position), so the sums combine before the shuffle.
+    The vector mean is one JVM aggregate per key, combined before the shuffle.
     """
     joined = members.select(key, "item_id").join(vectors.select("item_id", "vector"), "item_id")
-    parts = joined.select(key, F.posexplode("vector").alias("pos", "x"))
-    means = parts.groupBy(key, "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    packed = means.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("pairs"))
-    from quillrec.functions.scores import unit
-
-    return packed.select(key, unit(F.transform("pairs", lambda p: p["x"])).alias("vector"))
+    means = joined.groupBy(key).agg(Summarizer.mean(array_to_vector("vector")).alias("mean"))
+    return means.select(key, unit(vector_to_array("mean")).alias("vector"))

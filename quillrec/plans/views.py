@@ -122,3 +122,68 @@ view(
        FROM (SELECT *, CASE WHEN s > 0 THEN sqrt(s) ELSE 1 END AS n FROM (
          SELECT *, list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x)) AS s FROM embeddings))""",
 )
+view("liked", "SELECT DISTINCT user_id, item_id FROM liked_rows WHERE rn <= 100")
+view(
+    "cooc",
+    """SELECT a.item_id AS item_i, b.item_id AS item_j, count(*) AS common FROM liked a JOIN liked b
+       ON a.user_id = b.user_id AND a.item_id <> b.item_id GROUP BY 1, 2""",
+)
+view("like_counts", "SELECT item_id, count(*) AS n FROM liked GROUP BY 1")
+view(
+    "near_items",
+    """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, similar_id) AS rn FROM (
+         SELECT item_i AS item_id, item_j AS similar_id,
+                round(common / sqrt(CAST(a.n AS DOUBLE) * b.n), 10) AS similarity
+         FROM cooc JOIN like_counts a ON a.item_id = item_i JOIN like_counts b ON b.item_id = item_j)) WHERE rn <= 50""",
+)
+view(
+    "itemcf",
+    """SELECT user_id, item_id, 'itemcf' AS channel, score FROM (
+         SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rn FROM (
+           SELECT user_id, similar_id AS item_id, round(sum(similarity), 6) AS score
+           FROM liked JOIN near_items USING (item_id) GROUP BY 1, 2) s
+         WHERE NOT EXISTS (SELECT 1 FROM seen WHERE seen.user_id = s.user_id AND seen.item_id = s.item_id))
+       WHERE rn <= 50""",
+)
+view(
+    "hot_items",
+    """SELECT item_id, round((raw - min(raw) OVER ()) / (max(raw) OVER () - min(raw) OVER ()), 6) AS score FROM (
+         SELECT item_id, item_avg_rating * ln(1 + item_rating_count) AS raw FROM item_profile)""",
+)
+view(
+    "hot",
+    """SELECT user_id, item_id, 'hot' AS channel, score FROM (
+         SELECT user_id, h.item_id, score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, h.item_id) AS rn
+         FROM (SELECT DISTINCT user_id FROM train) u CROSS JOIN hot_items h
+         WHERE NOT EXISTS (SELECT 1 FROM seen WHERE seen.user_id = u.user_id AND seen.item_id = h.item_id))
+       WHERE rn <= 50""",
+)
+view("candidates", "SELECT * FROM itemcf UNION ALL SELECT * FROM hot")
+view(
+    "wide",
+    """SELECT user_id, item_id, max(score) FILTER (channel = 'itemcf') AS i, max(score) FILTER (channel = 'hot') AS h
+       FROM candidates GROUP BY 1, 2""",
+)
+view(
+    "wide_norm",
+    """SELECT *, CAST(i IS NOT NULL AS INT) AS fi, CAST(h IS NOT NULL AS INT) AS fh,
+              CASE WHEN hi_i <= lo_i THEN 1.0 ELSE (coalesce(i, 0) - lo_i) / (hi_i - lo_i) END AS ni,
+              CASE WHEN hi_h <= lo_h THEN 1.0 ELSE (coalesce(h, 0) - lo_h) / (hi_h - lo_h) END AS nh
+       FROM (SELECT *, min(coalesce(i, 0)) OVER (PARTITION BY user_id) AS lo_i, max(coalesce(i, 0)) OVER (PARTITION BY user_id) AS hi_i,
+                    min(coalesce(h, 0)) OVER (PARTITION BY user_id) AS lo_h, max(coalesce(h, 0)) OVER (PARTITION BY user_id) AS hi_h
+             FROM wide)""",
+)
+view(
+    "fused",
+    """SELECT * FROM (SELECT user_id, item_id, coalesce(i, 0) AS itemcf_score, coalesce(h, 0) AS hot_score, fi AS is_itemcf_recall,
+              fh AS is_hot_recall, fi + fh AS recall_source_count, merged_score,
+              row_number() OVER (PARTITION BY user_id ORDER BY merged_score DESC, item_id) AS rn FROM (
+         SELECT *, round(0.28 + 0.20 * ni + 0.15 + 0.11 + 0.10 + 0.08 * nh + 0.08 + 0.1 * (fi + fh), 6) AS merged_score
+         FROM wide_norm)) WHERE rn <= 100""",
+)
+view(
+    "item_texts",
+    """SELECT item_id, lower(concat_ws(' ', clean_title, title, array_to_string(genres, ' '), array_to_string(tags, ' '))) AS text
+       FROM item_profile""",
+)
+view("item_ingredients", "SELECT DISTINCT item_id, unnest(ingredients) AS ingredient FROM items")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillrec.functions import text as tx
 from quillrec.functions.scores import ab_group, unit
-from quillrec.operators import prepare, profiles
+from quillrec.operators import fuse, hot, itemcf, prepare, profiles
 
 EXPERIMENT = "default"
 # How event types stand in for feedback types.
@@ -98,6 +98,22 @@ class Domain:
     def item_profile(self) -> DataFrame:
         return profiles.build_item_profile(self.train, self.items, self.tags)
 
+    @cached_property
+    def item_texts(self) -> DataFrame:
+        """(item_id, text): everything known about an item in one lower-case text."""
+        parts = [F.col("clean_title"), F.col("title"), tx.pipe_join(F.col("genres")), tx.pipe_join(F.col("tags"))]
+        return self.item_profile.select("item_id", tx.content_text(*parts).alias("text"))
+
+    @cached_property
+    def candidates(self) -> DataFrame:
+        """Lists of the two channels that need no model: co-occurrence and popularity."""
+        users = self.train.select("user_id")
+        return itemcf.itemcf_recall(self.train).unionByName(hot.hot_recall(users, self.item_profile, self.seen))
+
+    @cached_property
+    def fused(self) -> DataFrame:
+        return fuse.fuse(self.candidates)
+
     @cached_property
     def feedback(self) -> DataFrame:
         """Events as feedback: (event_id, user_id, item_id, feedback_type, feedback_value, ts, run_id)."""
