@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillrec.functions import text as tx
 from quillrec.operators.nearest import best_of_block
 from quillrec.operators.topk import top_k, top_n
-from quillrec.session import ensure_checkpoint_dir
+from quillrec.session import stage
 
 MAX_TERMS = 20_000
 POOL = 20_000
@@ -124,8 +124,7 @@ def content_recall(
     extra: int = EXTRA,
 ) -> DataFrame:
     """Unseen pool items whose text is closest to the user's favourite genres and best items."""
-    ensure_checkpoint_dir(item_texts.sparkSession)
-    counts = term_counts(item_texts, "item_id", "text")
+    counts = stage(term_counts(item_texts, "item_id", "text"))
     n_docs = item_texts.agg(F.count(F.lit(1))).scalar()
     vocab = vocabulary(counts, n_docs, max_terms)
     order = [
@@ -136,10 +135,9 @@ def content_recall(
     ]
     ranked = item_profile.select("item_id", "item_popularity", "item_rating_count", "item_avg_rating")
     pool_ids = top_n(ranked, order, pool_size).select("item_id")
-    pool = weighted(counts.join(pool_ids, "item_id", "left_semi"), vocab, "item_id").checkpoint()
-    users = weighted(
-        term_counts(user_texts(user_profile, item_texts), "user_id", "text"), vocab, "user_id"
-    ).checkpoint()
+    vocab = stage(vocab)
+    pool = stage(weighted(counts.join(pool_ids, "item_id", "left_semi"), vocab, "item_id"))
+    users = stage(weighted(term_counts(user_texts(user_profile, item_texts), "user_id", "text"), vocab, "user_id"))
     found = top_products(users, pool, top_items + extra, users.count(), pool.count())
     fresh = found.join(seen, ["user_id", "item_id"], "left_anti")
     best = top_k(fresh, ["user_id"], [F.desc("score"), F.asc("item_id")], top_items)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillrec.operators.skew import salted_join
 from quillrec.operators.topk import top_k
+from quillrec.session import stage
 
 LIKED = 4.0
 MAX_LIKED = 100
@@ -48,7 +49,7 @@ def cooccurrence(liked: DataFrame) -> DataFrame:
 def similar_items(liked: DataFrame, k: int = TOP_SIMILAR) -> DataFrame:
     """(item_id, similar_id, similarity): the k most similar items of every item."""
     similarity = F.col("common") / F.sqrt(F.col("n_i").cast("double") * F.col("n_j"))
-    half = cooccurrence(liked).select("item_i", "item_j", F.round(similarity, SCORE_DIGITS + 4).alias("similarity"))
+    half = cooccurrence(liked).select("item_i", "item_j", similarity.alias("similarity"))
     both = F.array(
         F.struct(F.col("item_i").alias("item_id"), F.col("item_j").alias("similar_id")),
         F.struct(F.col("item_j").alias("item_id"), F.col("item_i").alias("similar_id")),
@@ -65,7 +66,7 @@ def itemcf_recall(
     k_similar: int = TOP_SIMILAR,
 ) -> DataFrame:
     """Top unseen items per user by summed similarity to the user's likes."""
-    liked = liked_pairs(train, min_rating, max_liked)
+    liked = stage(liked_pairs(train, min_rating, max_liked))
     similar = similar_items(liked, k_similar)
     # At most k_similar neighbours per item: one packed row per item keeps the join one-to-one.
     neighbours = similar.groupBy("item_id").agg(F.collect_list(F.struct("similar_id", "similarity")).alias("near"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillrec.session import ensure_checkpoint_dir
+from quillrec.session import stage
 
 ROW_BITS = 33  # monotonically_increasing_id keeps the row number of a partition in its low 33 bits
 HISTOGRAM_BUCKETS = 4096
@@ -17,11 +17,10 @@ def with_global_rank(df: DataFrame, order: Sequence[Column], rank: str) -> DataF
     """Add the 1-based position of every row under a total order.
 
     A range sort numbers rows inside each partition; one small aggregate (a row per partition)
-    gives the offsets. The sorted rows are checkpointed in between, so a lost executor cannot
+    gives the offsets. The numbered rows are staged in between, so a lost executor cannot
     change the range boundaries the offsets were counted for.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    numbered = df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id()).checkpoint()
+    numbered = stage(df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id()))
     part = F.shiftright("_mid", ROW_BITS)
     sizes = numbered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

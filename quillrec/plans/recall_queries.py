@@ -32,9 +32,9 @@ def pair_totals(d):
     return itemcf.liked_pairs(d.train).groupBy("user_id").agg((n * (n - 1) / 2).cast("long").alias("pairs"))
 
 
-@query("win_6_similar_items", "SELECT item_id, similar_id, similarity FROM near_items")
+@query("win_6_similar_items", "SELECT item_id, similar_id, round(similarity, 6) AS similarity FROM near_items")
 def similar_items(d):
-    return itemcf.similar_items(itemcf.liked_pairs(d.train))
+    return itemcf.similar_items(itemcf.liked_pairs(d.train)).withColumn("similarity", F.round("similarity", DIGITS))
 
 
 @query(

@@ -133,7 +133,7 @@ view(
     "near_items",
     """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, similar_id) AS rn FROM (
          SELECT item_i AS item_id, item_j AS similar_id,
-                round(common / sqrt(CAST(a.n AS DOUBLE) * b.n), 10) AS similarity
+                common / sqrt(CAST(a.n AS DOUBLE) * b.n) AS similarity
          FROM cooc JOIN like_counts a ON a.item_id = item_i JOIN like_counts b ON b.item_id = item_j)) WHERE rn <= 50""",
 )
 view(

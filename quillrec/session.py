@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -44,8 +45,21 @@ def shared_dir(spark: SparkSession) -> str:
     return scratch
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Point SparkContext at the shared folder unless it already has a checkpoint folder."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(spark))
+def stage(df: DataFrame, *partition_by: str) -> DataFrame:
+    """Write a table to the shared folder and read it back: lineage ends here and survives executor loss.
+
+    Used for tables that are read several times. Parquet keeps column pruning and filters working.
+    """
+    path = f"{shared_dir(df.sparkSession)}/staged-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def still_there(df: DataFrame) -> bool:
+    """Whether the files behind a staged table still exist."""
+    files = df.inputFiles()
+    if not files:
+        return False
+    jvm = df.sparkSession.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(files[0])
+    return path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).exists(path)

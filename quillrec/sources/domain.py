@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from quillrec.functions import text as tx
 from quillrec.functions.scores import ab_group, unit
 from quillrec.operators import fuse, hot, itemcf, prepare, profiles
+from quillrec.session import stage, still_there
 
 EXPERIMENT = "default"
 # How event types stand in for feedback types.
@@ -22,12 +24,22 @@ FEEDBACK_TYPES = {
 }
 
 
+_STAGED: dict[tuple[str, str, str], DataFrame] = {}
+
+
 class Domain:
     """Lazy DataFrames over one data folder; nothing runs until a result is asked for."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
+    def _staged(self, name: str, build: Callable[[], DataFrame], *partition_by: str) -> DataFrame:
+        """A foundation table, written once per application and data folder and then read by every query."""
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _STAGED or not still_there(_STAGED[key]):
+            _STAGED[key] = stage(build(), *partition_by)
+        return _STAGED[key]
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
@@ -76,7 +88,7 @@ class Domain:
 
     @cached_property
     def split(self) -> DataFrame:
-        return prepare.leave_one_out(self.ratings)
+        return self._staged("split", lambda: prepare.leave_one_out(self.ratings), "is_test")
 
     @cached_property
     def train(self) -> DataFrame:
@@ -92,11 +104,11 @@ class Domain:
 
     @cached_property
     def user_profile(self) -> DataFrame:
-        return profiles.build_user_profile(self.train, self.items)
+        return self._staged("user_profile", lambda: profiles.build_user_profile(self.train, self.items))
 
     @cached_property
     def item_profile(self) -> DataFrame:
-        return profiles.build_item_profile(self.train, self.items, self.tags)
+        return self._staged("item_profile", lambda: profiles.build_item_profile(self.train, self.items, self.tags))
 
     @cached_property
     def item_texts(self) -> DataFrame:
@@ -107,12 +119,17 @@ class Domain:
     @cached_property
     def candidates(self) -> DataFrame:
         """Lists of the two channels that need no model: co-occurrence and popularity."""
-        users = self.train.select("user_id")
-        return itemcf.itemcf_recall(self.train).unionByName(hot.hot_recall(users, self.item_profile, self.seen))
+
+        def build() -> DataFrame:
+            users = self.train.select("user_id")
+            popular = hot.hot_recall(users, self.item_profile, self.seen)
+            return itemcf.itemcf_recall(self.train).unionByName(popular)
+
+        return self._staged("candidates", build)
 
     @cached_property
     def fused(self) -> DataFrame:
-        return fuse.fuse(self.candidates)
+        return self._staged("fused", lambda: fuse.fuse(self.candidates))
 
     @cached_property
     def feedback(self) -> DataFrame:
