@@ -295,12 +295,12 @@ def qry_cold(d):
 @query(
     "qry_cold_kg",
     """SELECT pref_id, item_id, score, CAST(row_number() OVER (PARTITION BY pref_id ORDER BY position) AS INT) AS position FROM (
-         SELECT c.*, m.pref_id IS NOT NULL AS member, bool_or(m.pref_id IS NOT NULL) OVER (PARTITION BY c.pref_id) AS some FROM cold c
+         SELECT c.*, m.pref_id IS NOT NULL AS member, bool_or(m.pref_id IS NOT NULL) OVER (PARTITION BY c.pref_id) AS hit FROM cold c
          LEFT JOIN (SELECT pref_id, item_id FROM (
              SELECT *, row_number() OVER (PARTITION BY pref_id ORDER BY score DESC, item_id) AS rn FROM (
                SELECT pref_id, item_id, CAST(count(DISTINCT ingredient) AS DOUBLE) AS score
                FROM (SELECT pref_id, unnest(ingredient_terms) AS t FROM prefs) JOIN item_ingredients ON contains(ingredient, t) GROUP BY 1, 2))
-           WHERE rn <= 20) m ON m.pref_id = c.pref_id AND m.item_id = c.item_id) WHERE member OR NOT some""",
+           WHERE rn <= 20) m ON m.pref_id = c.pref_id AND m.item_id = c.item_id) WHERE member OR NOT hit""",
 )
 def qry_cold_kg(d):
     asked = stage(requests(d))
@@ -460,7 +460,7 @@ view(
 @query(
     "twin_3_cards",
     """SELECT t.user_id, t.twin_id, round(least(greatest(score, 0), 1) * 100, 1) AS match_score,
-              array_to_string(h.items[1:CASE WHEN l.items IS NULL THEN 6 ELSE 3 END], '|') AS high, coalesce(array_to_string(l.items, '|'), '') AS low
+              coalesce(array_to_string(h.items[1:CASE WHEN l.items IS NULL THEN 6 ELSE 3 END], '|'), '') AS high, coalesce(array_to_string(l.items, '|'), '') AS low
        FROM twins t LEFT JOIN (SELECT twin_id, list(item_id ORDER BY rn) AS items FROM twin_high WHERE rn <= 6 GROUP BY 1) h USING (twin_id)
        LEFT JOIN (SELECT twin_id, list(item_id ORDER BY rn) AS items FROM twin_low WHERE rn <= 3 GROUP BY 1) l USING (twin_id)""",
 )
@@ -617,7 +617,7 @@ def messages(d) -> DataFrame:
 
 def run_stream(d, stream: DataFrame, name: str, mode: str = "update", transform=None) -> str:
     path = scratch(d, name)
-    handle = fs.write_batches(stream, path, scratch(d, f"{name}-checkpoint"), None, mode, transform)
+    handle = fs.write_batches(stream, path, scratch(d, f"{name}-checkpoint"), mode, transform)
     handle.awaitTermination()
     return path
 

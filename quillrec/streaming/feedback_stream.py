@@ -191,7 +191,7 @@ def live_profile_stream(events: DataFrame, ttl_ms: int | None = STATE_TTL_MS) ->
 # --- sinks -------------------------------------------------------------------------------------------
 
 
-def write_batches(stream: DataFrame, path: str, checkpoint: str, name: str, mode: str = "update", transform=None):
+def write_batches(stream: DataFrame, path: str, checkpoint: str, mode: str = "update", transform=None):
     """Write each micro-batch to its own folder <path>/batch_id=<n>; a repeated batch overwrites itself."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -199,8 +199,7 @@ def write_batches(stream: DataFrame, path: str, checkpoint: str, name: str, mode
         out.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return (
-        stream.writeStream.queryName(name)
-        .outputMode(mode)
+        stream.writeStream.outputMode(mode)
         .option("checkpointLocation", checkpoint)
         .foreachBatch(write)
         .trigger(availableNow=True)
@@ -225,9 +224,9 @@ def profile_seeds(profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     recent = profiles.select("user_id", F.posexplode(arrays).alias("p", "e")).select(
         "user_id",
-        F.col("e.recent_items").alias("item_id"),
-        F.col("e.recent_types").alias("feedback_type"),
-        F.col("e.recent_values").alias("feedback_value"),
+        F.col("e.item_id"),
+        F.col("e.feedback_type"),
+        F.col("e.feedback_value"),
         (F.col("p") + 1).alias("rn"),
     )
     positives = profiles.select("user_id", F.posexplode("positive_items").alias("p", "item_id")).select(
