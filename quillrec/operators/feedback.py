@@ -18,6 +18,8 @@ SEED_WEIGHTS = {"like": 1.25, "click": 0.85, "seen": 0.45}
 RECENCY_STEP, RECENCY_FLOOR = 0.04, 0.35
 POSITIVE_FLOOR, POSITIVE_SEEDS = 0.75, 20
 DIGITS = 6
+# Six-digit similarities times four-digit weights have ten digits: rounding there removes only float noise.
+SCORE_DIGITS = 10
 
 
 def ab_metrics(recommendation_log: DataFrame, feedback_log: DataFrame, dedup: bool = False) -> DataFrame:
@@ -141,7 +143,7 @@ def live_recommendations(seeds: DataFrame, blocked: DataFrame, similar: DataFram
     near = similar.select("item_id", "similar_id", F.col("score").alias("similarity"))
     weighted = seeds.where(F.col("weight").isNotNull()).join(near, "item_id")
     scored = weighted.groupBy("user_id", F.col("similar_id").alias("item_id")).agg(
-        F.round(F.sum(F.col("similarity") * F.col("weight")), DIGITS).alias("score")
+        F.round(F.sum(F.col("similarity") * F.col("weight")), SCORE_DIGITS).alias("score")
     )
     fresh = scored.join(blocked.select("user_id", "item_id").distinct(), ["user_id", "item_id"], "left_anti")
     return top_k(fresh, ["user_id"], [F.desc("score"), F.asc("item_id")], k, "position")

@@ -19,6 +19,7 @@ from quillrec.sources import tables as sources
 from quillrec.streaming import feedback_stream as fs
 
 DIGITS = 6
+STREAM_LIMIT_SECONDS = 3600
 
 
 def scratch(d, name: str) -> str:
@@ -618,7 +619,9 @@ def messages(d) -> DataFrame:
 def run_stream(d, stream: DataFrame, name: str, mode: str = "update", transform=None) -> str:
     path = scratch(d, name)
     handle = fs.write_batches(stream, path, scratch(d, f"{name}-checkpoint"), mode, transform)
-    handle.awaitTermination()
+    if not handle.awaitTermination(STREAM_LIMIT_SECONDS):
+        handle.stop()
+        raise TimeoutError(f"stream {name} did not finish in {STREAM_LIMIT_SECONDS} s")
     return path
 
 
@@ -671,7 +674,7 @@ def profile_stream(d) -> str:
         "spark.sql.streaming.stateStore.providerClass",
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     )
-    return run_stream(d, fs.live_profile_stream(fs.good_events(messages(d))), "profiles")
+    return run_stream(d, fs.live_profile_stream(fs.good_events(messages(d)), ttl_ms=None), "profiles")
 
 
 @query("str_3_live_profiles", PROFILE_SQL.format(source="stream_events"))
@@ -727,7 +730,7 @@ def str_seeds(d):
 @query(
     "str_6_live_recommendations",
     """SELECT user_id, item_id, score, CAST(rn AS INT) AS position FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rn FROM (
-         SELECT s.user_id, n.similar_id AS item_id, round(sum(n.score * s.weight), 6) AS score FROM seeds s JOIN (
+         SELECT s.user_id, n.similar_id AS item_id, round(sum(n.score * s.weight), 10) AS score FROM seeds s JOIN (
            SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, similar_id) AS rn FROM (
              SELECT a.item_id, b.item_id AS similar_id, round(list_inner_product(a.vector, b.vector), 6) AS score
              FROM vectors a JOIN vectors b ON a.item_id <> b.item_id)) WHERE rn <= 160) n ON n.item_id = s.item_id WHERE s.weight IS NOT NULL GROUP BY 1, 2) c
@@ -747,7 +750,7 @@ def live_sink(d):
         "spark.sql.streaming.stateStore.providerClass",
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     )
-    stream = fs.live_profile_stream(fs.good_events(messages(d)))
+    stream = fs.live_profile_stream(fs.good_events(messages(d)), ttl_ms=None)
     path = run_stream(d, stream, "live", transform=lambda batch: fs.recommend_from_profiles(batch, similar, 20))
     return d.spark.read.parquet(path)
 

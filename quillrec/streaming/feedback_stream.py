@@ -191,8 +191,12 @@ def live_profile_stream(events: DataFrame, ttl_ms: int | None = STATE_TTL_MS) ->
 # --- sinks -------------------------------------------------------------------------------------------
 
 
-def write_batches(stream: DataFrame, path: str, checkpoint: str, mode: str = "update", transform=None):
-    """Write each micro-batch to its own folder <path>/batch_id=<n>; a repeated batch overwrites itself."""
+def write_batches(stream: DataFrame, path: str, checkpoint: str, mode: str = "update", transform=None, **trigger):
+    """Write each micro-batch to its own folder <path>/batch_id=<n>; a repeated batch overwrites itself.
+
+    The default trigger drains the source and stops. State with a TTL keeps scheduling batches to
+    expire itself, so such a stream needs a standing trigger (processingTime="10 seconds").
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         out = transform(batch) if transform else batch
@@ -202,7 +206,7 @@ def write_batches(stream: DataFrame, path: str, checkpoint: str, mode: str = "up
         stream.writeStream.outputMode(mode)
         .option("checkpointLocation", checkpoint)
         .foreachBatch(write)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
