@@ -17,7 +17,8 @@ from quillrec.session import stage
 MAX_TERMS = 20_000
 POOL = 20_000
 EXTRA = 300
-BLOCK_ITEMS = 512
+BLOCK_ITEMS = 2048  # items of one packed row: one top-k per block is shuffled
+DENSE_ITEMS = 512  # items made dense at a time within a block
 BLOCK_USERS = 128
 DIGITS = 6
 
@@ -78,16 +79,25 @@ def top_products(users: DataFrame, pool: DataFrame, k: int, n_users: int, n_pool
     def score(batches):
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                terms, columns = np.unique(np.asarray(row.i_terms), return_inverse=True)
-                items = np.zeros((len(row.i_ids), len(terms)))
-                items[np.repeat(np.arange(len(row.i_ids)), row.i_sizes), columns] = row.i_weights
-                u_terms = np.asarray(row.u_terms)
-                at = np.minimum(np.searchsorted(terms, u_terms), len(terms) - 1)
-                known = terms[at] == u_terms
+                ids, sizes = np.asarray(row.i_ids), np.asarray(row.i_sizes)
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                u_terms, u_weights = np.asarray(row.u_terms), np.asarray(row.u_weights)
                 users_at = np.repeat(np.arange(len(row.u_ids)), row.u_sizes)
-                asked_for = np.zeros((len(row.u_ids), len(terms)))
-                asked_for[users_at[known], at[known]] = np.asarray(row.u_weights)[known]
-                rows, ids, values = best_of_block(asked_for @ items.T, np.asarray(row.i_ids), k)
+                scores = np.zeros((len(row.u_ids), len(ids)))
+                for lo in range(0, len(ids), DENSE_ITEMS):
+                    hi = min(lo + DENSE_ITEMS, len(ids))
+                    part = slice(ends[lo], ends[hi])
+                    terms, columns = np.unique(np.asarray(row.i_terms)[part], return_inverse=True)
+                    if not len(terms):
+                        continue
+                    items = np.zeros((hi - lo, len(terms)))
+                    items[np.repeat(np.arange(hi - lo), sizes[lo:hi]), columns] = np.asarray(row.i_weights)[part]
+                    at = np.minimum(np.searchsorted(terms, u_terms), len(terms) - 1)
+                    known = terms[at] == u_terms
+                    asked_for = np.zeros((len(row.u_ids), len(terms)))
+                    asked_for[users_at[known], at[known]] = u_weights[known]
+                    scores[:, lo:hi] = asked_for @ items.T
+                rows, ids, values = best_of_block(scores, ids, k)
                 positive = values > 0
                 yield pd.DataFrame(
                     {
