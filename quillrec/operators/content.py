@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillrec.functions import text as tx
+from quillrec.functions.scores import min_max
 from quillrec.operators.nearest import best_of_block
 from quillrec.operators.topk import top_k, top_n
 from quillrec.session import stage
@@ -152,3 +153,48 @@ def content_recall(
     fresh = found.join(seen, ["user_id", "item_id"], "left_anti")
     best = top_k(fresh, ["user_id"], [F.desc("score"), F.asc("item_id")], top_items)
     return best.select("user_id", "item_id", F.lit("content").alias("channel"), "score")
+
+
+def profile_match(user_profile: DataFrame, item_profile: DataFrame, n: int = 50) -> DataFrame:
+    """Top n items per user: .55 favourite-term overlap + .25 rating + .15 popularity + .05 image.
+
+    Users without favourites get .45 / .40 / .15 of the last three. The item part is one more
+    vector component, so the sum is a sparse product; items scoring 0 are left out.
+    """
+    span = item_profile.agg(
+        F.struct(
+            F.min("item_avg_rating").alias("r0"),
+            F.max("item_avg_rating").alias("r1"),
+            F.min("item_popularity").alias("p0"),
+            F.max("item_popularity").alias("p1"),
+        )
+    ).scalar()
+    rating = min_max(F.col("item_avg_rating"), span["r0"], span["r1"])
+    fame = min_max(F.col("item_popularity"), span["p0"], span["p1"])
+    image = (F.col("has_image") > 0).cast("double")
+    lists = [tx.pipe_join(F.col(c)) for c in ("genres", "tags", "ingredients")]
+    words = tx.token_set(F.concat_ws(" ", "title", "clean_title", *lists))
+    known, unknown = F.lit(1).cast("long"), F.lit(2).cast("long")  # component ids of the two item parts
+    hashed = lambda tokens: F.transform(tokens, lambda t: F.xxhash64(t))
+    parts = item_profile.select("item_id", words.alias("w"), rating.alias("r"), fame.alias("f"), image.alias("i"))
+    items = parts.select(
+        "item_id",
+        F.concat(hashed("w"), F.array(known, unknown)).alias("term_ids"),
+        F.concat(
+            F.transform("w", lambda _: F.lit(1.0)),
+            F.array(
+                0.25 * F.col("r") + 0.15 * F.col("f") + 0.05 * F.col("i"),
+                0.45 * F.col("r") + 0.40 * F.col("f") + 0.15 * F.col("i"),
+            ),
+        ).alias("weights"),
+    )
+    terms = user_profile.select("user_id", tx.token_set(tx.pipe_join(F.col("favorite_genres"))).alias("t"))
+    size = F.greatest(F.size("t"), F.lit(1))
+    users = terms.select(
+        "user_id",
+        F.concat(hashed("t"), F.array(F.when(F.size("t") > 0, known).otherwise(unknown))).alias("term_ids"),
+        F.concat(F.transform("t", lambda _: F.lit(0.55) / size), F.array(F.lit(1.0))).alias("weights"),
+    )
+    items, users = stage(items), stage(users)
+    found = top_products(users, items, n, users.count(), items.count())
+    return found.select("user_id", "item_id", F.lit("content").alias("channel"), "score")

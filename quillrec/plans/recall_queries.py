@@ -461,3 +461,30 @@ def contains_join(d):
     terms = knowledge.frequent_ingredients(d.user_profile, d.items.select("item_id", "ingredients"))
     return knowledge.containing_names(terms.select(F.col("ingredient").alias("term")).distinct(), ingredient_bridge(d))
 
+
+
+@query(
+    "rec_contentrule",
+    """SELECT user_id, item_id, 'content' AS channel, score FROM (
+         SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rn FROM (
+           SELECT user_id, item_id, round(CASE WHEN len(favorite_genres) > 0 THEN
+                    0.55 * len(list_intersect(tok, favorite_genres)) / len(favorite_genres) + 0.25 * r + 0.15 * p + 0.05 * has_image
+                    ELSE 0.45 * r + 0.40 * p + 0.15 * has_image END, 6) AS score
+           FROM user_profile CROSS JOIN (
+             SELECT item_id, has_image, regexp_split_to_array(lower(concat_ws(' ', title, clean_title, array_to_string(genres, '|'),
+                      array_to_string(tags, '|'))), '[|,;/\\s]+') AS tok,
+                    (item_avg_rating - min(item_avg_rating) OVER ()) / (max(item_avg_rating) OVER () - min(item_avg_rating) OVER ()) AS r,
+                    (item_popularity - min(item_popularity) OVER ()) / (max(item_popularity) OVER () - min(item_popularity) OVER ()) AS p
+             FROM item_profile))) WHERE rn <= 50""",
+)
+def rec_contentrule(d):
+    return content.profile_match(d.user_profile, d.item_profile, 50)
+
+
+@query(
+    "jn_8_semi_id_set",
+    "SELECT user_id, item_id, rating FROM ratings WHERE item_id IN (SELECT item_id FROM hot)",
+)
+def semi_id_set(d):
+    wanted = d.candidates.where("channel = 'hot'").select("item_id").distinct()
+    return d.ratings.join(wanted, "item_id", "left_semi").select("user_id", "item_id", "rating")
