@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrec.llm import packing, tokens, urls
+from quillrec.llm import fingerprint, language, packing, tokens, urls
 
 TOKEN_LIMIT = 4096
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,11 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op3_document_fingerprints")
+def op3_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprint.compare_with_next(table(spark, folder, "documents"))
+
+
 @query("op5_token_counts")
 def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.count_tokens(table(spark, folder, "documents"), tokenizer("piece_bpe_32k.model"), TOKEN_LIMIT)
@@ -46,6 +51,14 @@ def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), tokenizer("word_bpe_49k.json"), TOKEN_LIMIT, end_id=1)
 
 
+@query("op8_language_id")
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    network = language.fit(docs.where(~held_out))
+    return language.predict(docs, network, "doc_id", held_out.alias("held_out"))
+
+
 URL_RULES = [
     urls.Rule("net", "/", "block"),
     urls.Rule("example.net", "/en/", "allow"),
