@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrec.llm import fingerprint, language, packing, tokens, urls
+from quillrec.llm import fingerprint, language, packing, substring, tokens, urls
 
 TOKEN_LIMIT = 4096
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,31 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+SUBSTRING_SQL = r"""
+WITH words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents),
+starts AS (
+  SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS s FROM words WHERE len(w) >= 13),
+windows AS (SELECT doc_id, s, array_to_string(w[s:s + 12], ' ') AS run FROM starts),
+firsts AS (SELECT run, min(doc_id) AS first_id FROM windows GROUP BY run),
+cut AS (
+  SELECT DISTINCT doc_id, unnest(generate_series(s, s + 12)) AS pos
+  FROM windows JOIN firsts USING (run) WHERE doc_id > first_id),
+marks AS (SELECT doc_id, list(pos) AS gone FROM cut GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+       sha256(array_to_string(list_filter(w, lambda x, i: NOT coalesce(list_contains(gone, i), false)), ' ')) AS kept_sha256
+FROM words LEFT JOIN marks USING (doc_id)
+"""
+
+
+@query("op2_substring_dedup", SUBSTRING_SQL)
+def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = substring.dedup_substrings(table(spark, folder, "documents"), "doc_id")
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return kept.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op3_document_fingerprints")
 def op3_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint.compare_with_next(table(spark, folder, "documents"))
