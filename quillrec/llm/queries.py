@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrec.llm import fingerprint, language, packing, substring, tokens, urls
+from quillrec.llm import fingerprint, language, packing, substring, suffixes, tokens, urls
 
 TOKEN_LIMIT = 4096
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,6 +66,16 @@ def op3_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint.compare_with_next(table(spark, folder, "documents"))
 
 
+@query("op4_suffix_array_dedup")
+def op4_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = suffixes.dedup_suffixes(table(spark, folder, "documents"), "doc_id")
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return kept.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query("op5_token_counts")
 def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.count_tokens(table(spark, folder, "documents"), tokenizer("piece_bpe_32k.model"), TOKEN_LIMIT)

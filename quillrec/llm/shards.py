@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +46,58 @@ def undeltas(data: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(data, "<i8"))
 
 
+def packed(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+    shard, entries, ids = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(shard, pa.int32()), pa.array(entries, pa.binary()), pa.array(ids, pa.binary())],
+        ["shard", "entries", "ids"],
+    )
+
+
+PACKED = "shard int, entries binary, ids binary"
+
+
+def gathered(batches: Iterator[pa.RecordBatch], width: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All entries that came to a task: shard, entry, id."""
+    shard, entries, ids = [], [], []
+    for batch in batches:
+        for s, e, d in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            entries.append(np.frombuffer(e, width))
+            ids.append(undeltas(d))
+            shard.append(np.full(len(entries[-1]), s, np.uint64))
+    if not shard:
+        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
+    return np.concatenate(shard), np.concatenate(entries).astype(np.uint64), np.concatenate(ids)
+
+
+def groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order that brings equal keys together, first place of each group, group of each place."""
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(keys) else np.empty(0, int)
+    sizes = np.diff(np.append(first, len(keys)))
+    return order, first, np.repeat(np.arange(len(first)), sizes)
+
+
+def by_id(ids: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    """One row an id with its values."""
+    order = np.argsort(ids, kind="stable")
+    ids, values = ids[order], values[order]
+    cuts = np.flatnonzero(ids[1:] != ids[:-1]) + 1
+    edges = [0, *cuts.tolist(), len(ids)] if len(ids) else [0]
+    data = values.astype("<u8").tobytes()
+    parts = [data[8 * a : 8 * b] for a, b in zip(edges, edges[1:], strict=False)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(ids[edges[:-1]], pa.int64()), pa.array(parts, pa.binary())], ["id", "found"]
+    )
+
+
+def runs_of(covered: np.ndarray) -> np.ndarray:
+    """Starts and ends (n, 2) of the runs of True."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]]).astype(np.int8)))
+    return edges.reshape(-1, 2)
+
+
 def filter_bits(ids: DataFrame, rows: int) -> np.ndarray:
     """Bit map of hashed `id`s: eight bits a row of the table they are of, at most MAX_FILTER_BITS (32 MB).
 

@@ -19,14 +19,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quillrec.llm.shards import (
+    PACKED,
     SHARDS_PER_PART,
+    by_id,
     deltas,
     filter_bits,
+    gathered,
+    groups,
     id_key,
     may_hold,
+    packed,
     parts_for,
+    runs_of,
     scattered,
-    undeltas,
 )
 from quillrec.llm.words import WordHashes, run_hashes, split_words
 from quillrec.session import stage
@@ -52,7 +57,7 @@ def _probes(block: int, shards: int):
         shard, keys = anchor_keys(hashes, shards)
         entries = (keys << np.uint64(1) | marks.astype(np.uint64)).astype("<u4")
         rows = [(s, e.tobytes(), deltas(d)) for s, (e, d) in scattered(shard, entries, ids)]
-        return _packed(rows)
+        return packed(rows)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, held, size = WordHashes(), [], 0
@@ -70,64 +75,18 @@ def _probes(block: int, shards: int):
     return probe
 
 
-def _packed(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
-    shard, entries, ids = zip(*rows, strict=True) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(shard, pa.int32()), pa.array(entries, pa.binary()), pa.array(ids, pa.binary())],
-        ["shard", "entries", "ids"],
-    )
-
-
-PACKED = "shard int, entries binary, ids binary"
-
-
-def _gathered(batches: Iterator[pa.RecordBatch], width: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All entries that came to a task: shard, entry, id."""
-    shard, entries, ids = [], [], []
-    for batch in batches:
-        for s, e, d in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            entries.append(np.frombuffer(e, width))
-            ids.append(undeltas(d))
-            shard.append(np.full(len(entries[-1]), s, np.uint64))
-    if not shard:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
-    return np.concatenate(shard), np.concatenate(entries).astype(np.uint64), np.concatenate(ids)
-
-
-def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order that brings equal keys together, first place of each group, group of each place."""
-    order = np.argsort(keys, kind="stable")
-    ordered = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(keys) else np.empty(0, int)
-    sizes = np.diff(np.append(first, len(keys)))
-    return order, first, np.repeat(np.arange(len(first)), sizes)
-
-
-def _by_id(ids: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-    """One row an id with its values."""
-    order = np.argsort(ids, kind="stable")
-    ids, values = ids[order], values[order]
-    cuts = np.flatnonzero(ids[1:] != ids[:-1]) + 1
-    edges = [0, *cuts.tolist(), len(ids)] if len(ids) else [0]
-    data = values.astype("<u8").tobytes()
-    parts = [data[8 * a : 8 * b] for a, b in zip(edges, edges[1:], strict=False)]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(ids[edges[:-1]], pa.int64()), pa.array(parts, pa.binary())], ["id", "found"]
-    )
-
-
 def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks that are an index block of a smaller document, and index blocks that a greater document probes."""
-    shard, entries, ids = _gathered(batches, "<u4")
+    shard, entries, ids = gathered(batches, "<u4")
     keys, marked = shard << KEY_BITS | entries >> np.uint64(1), (entries & np.uint64(1)).astype(bool)
-    order, first, group = _groups(keys)
+    order, first, group = groups(keys)
     if len(keys):
         keys, marked, ids = keys[order], marked[order], ids[order]
         smallest = np.minimum.reduceat(np.where(marked, ids, LAST_ID), first)[group]
         greatest = np.maximum.reduceat(ids, first)[group]
         hit = (ids > smallest) | (marked & (ids < greatest))
         keys, ids = keys[hit], ids[hit]
-    yield _by_id(ids, keys)
+    yield by_id(ids, keys)
 
 
 def _candidates(window: int, block: int, shards: int):
@@ -138,7 +97,7 @@ def _candidates(window: int, block: int, shards: int):
         ids = np.repeat(np.array([x for x, _ in held], np.int64), [len(x) for _, x in held])
         shard = ((hashes >> np.uint64(32)) % np.uint64(shards)).astype(np.int32)
         rows = [(s, h.astype("<u8").tobytes(), deltas(d)) for s, (h, d) in scattered(shard, hashes, ids)]
-        return _packed(rows)
+        return packed(rows)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, held, size = WordHashes(), [], 0
@@ -167,8 +126,8 @@ def _candidates(window: int, block: int, shards: int):
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows that also start in a smaller document."""
-    _, hashes, ids = _gathered(batches, "<u8")
-    order, first, group = _groups(hashes)
+    _, hashes, ids = gathered(batches, "<u8")
+    order, first, group = groups(hashes)
     if len(hashes):
         hashes, ids = hashes[order], ids[order]
         again = ids > np.minimum.reduceat(ids, first)[group]
@@ -176,13 +135,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = np.ones(len(ids), bool)
         kept[1:] = (hashes[1:] != hashes[:-1]) | (ids[1:] != ids[:-1])
         hashes, ids = hashes[kept], ids[kept]
-    yield _by_id(ids, hashes)
-
-
-def runs_of(covered: np.ndarray) -> np.ndarray:
-    """Starts and ends (n, 2) of the runs of True."""
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]]).astype(np.int8)))
-    return edges.reshape(-1, 2)
+    yield by_id(ids, hashes)
 
 
 def _finish(window: int, names: list[str], carried: int):
