@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrec.llm import fingerprint, language, packing, substring, suffixes, tokens, urls
+from quillrec.llm import fingerprint, language, ngram_join, packing, shards, substring, suffixes, tokens, urls
 
 TOKEN_LIMIT = 4096
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,39 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+SHINGLE_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(list_transform(generate_series(1, greatest(len(w) - 4, least(len(w), 1))),
+                                              lambda s: array_to_string(w[s:s + 4], ' '))) AS g
+  FROM words),
+members AS (SELECT doc_id, len(g) AS n, unnest(g) AS s FROM sets),
+common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared, any_value(a.n + b.n) AS total
+  FROM members a JOIN members b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM common WHERE 100 * shared >= 75 * (total - shared)),
+edges AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach(doc_id, least_id) AS (
+  SELECT doc_id, doc_id FROM sets
+  UNION
+  SELECT y, least_id FROM reach JOIN edges ON x = reach.doc_id WHERE least_id < y)
+SELECT doc_id, len(g)::BIGINT AS n_shingles, min(least_id) AS component_id
+FROM sets JOIN reach USING (doc_id) GROUP BY doc_id, len(g)
+"""
+
+
+@query("op1_ngram_jaccard_join", SHINGLE_SQL)
+def op1_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    found = ngram_join.near_duplicates(table(spark, folder, "documents"))
+    return found.select(
+        shards.from_key("id").alias("doc_id"), "n_shingles", shards.from_key("component").alias("component_id")
+    )
+
+
 SUBSTRING_SQL = r"""
 WITH words AS (
   SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w

@@ -18,6 +18,11 @@ def id_key(name: str = "doc_id") -> Column:
     return F.coalesce(F.col(name).cast("long"), F.lit(FIRST_ID))
 
 
+def from_key(name: str) -> Column:
+    """The id behind a key."""
+    return F.when(F.col(name) != FIRST_ID, F.col(name))
+
+
 def parts_for(docs: DataFrame, bytes_per_part: int) -> int:
     """Number of tasks that gives each about so many bytes of text, whatever the size of the table."""
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
