@@ -2,7 +2,8 @@
 
 No piece of the model has a space after another character or holds a line feed, so no merge crosses the start of
 a run of spaces or a line feed. Parts between those places are pre-tokens, and a text's count is the sum of theirs.
-The few pre-tokens that make up most of the corpus are looked up in place; all others are joined.
+Groups of documents are counted in place: a group's new pre-tokens are counted once and joined to the frequencies of
+its documents; a task remembers the pre-tokens of earlier groups.
 """
 
 from __future__ import annotations
@@ -10,18 +11,16 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from operator import mul
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from quillrec.session import stage
 
 PRE_TOKEN = re.compile(r" *[^ \n]+| +|\n")
 SPACE = "▁"  # how the model writes a space; in a text it means the same
-HEAD = 50_000  # a pre-token is of the head if it makes up more than 1 / HEAD of all: so there are fewer than HEAD
-HEAD_CHARS = 64
-HELD = 300_000  # distinct pre-tokens a task holds before it hands them on
+GROUP_CHARS = 4_000_000
+HELD = 400_000  # pre-tokens a task remembers
+HELD_CHARS = 64
 
 
 def pre_tokens(text: str) -> list[str]:
@@ -29,93 +28,55 @@ def pre_tokens(text: str) -> list[str]:
     return PRE_TOKEN.findall(" " + text.replace(SPACE, " ")) if text else []
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter[str] = Counter()
-
-    def rows() -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict(
-            {"token": pa.array(held.keys(), pa.string()), "n": pa.array(held.values(), pa.int64())}
-        )
-
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            held.update(pre_tokens(text or ""))
-            if len(held) > HELD:
-                yield rows()
-                held.clear()
-    yield rows()
-
-
-def _counter(model_path: str):
+def _counter(model_path: str, limit: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=model_path)
-        for batch in batches:
-            # The line feed keeps the model's own leading space apart: both are counted and taken off.
-            ids = model.encode(["\n" + x for x in batch.column(0).to_pylist()], num_threads=1)
-            pieces = pa.array([len(x) - 2 for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pieces], ["token", "n", "pieces"])
-
-    return count
+        pieces: dict[str, int] = {}  # of each pre-token
 
+        def join(frequencies: list[Counter[str]]) -> list[int]:
+            """Tokens of each document of a group."""
+            new = list({token for own in frequencies for token in own if token not in pieces})
+            # The line feed keeps the model's own leading space apart: both are counted and taken off.
+            counts = [len(x) - 2 for x in model.encode(["\n" + x for x in new], num_threads=1)]
+            pieces.update(zip(new, counts, strict=True))
+            sums = [sum(map(mul, map(pieces.__getitem__, own), own.values())) for own in frequencies]
+            if len(pieces) > HELD:
+                pieces.clear()
+            for token in new:
+                if len(token) > HELD_CHARS:
+                    pieces.pop(token, None)
+            return sums
 
-def _per_document(head):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = head.value
         for batch in batches:
-            sizes, sums, tokens, counts = [], [], [], []
+            sizes, sums, group, chars = [], [], [], 0
             for text in batch.column(1).to_pylist():
-                total, rest = 0, []
-                for token, n in Counter(pre_tokens(text or "")).items():
-                    pieces = known.get(token)
-                    if pieces is None:
-                        rest.append((token, n))
-                    else:
-                        total += pieces * n
-                sizes.append(len((text or "").encode()))
-                sums.append(total)
-                tokens.append([x for x, _ in rest])
-                counts.append([n for _, n in rest])
+                text = text or ""
+                sizes.append(len(text.encode()))
+                group.append(Counter(pre_tokens(text)))
+                chars += len(text)
+                if chars >= GROUP_CHARS:
+                    sums += join(group)
+                    group, chars = [], 0
+            sums += join(group)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()),
-                    pa.array(tokens, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int64())),
+                    pa.array([n > limit for n in sums], pa.bool_()),
                 ],
-                ["doc_id", "n_bytes", "known", "tokens", "counts"],
+                ["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
     return count
 
 
-def piece_table(docs: DataFrame, model_path: str) -> DataFrame:
-    """(token, n, pieces): every distinct pre-token of `docs.text`, how often it occurs, pieces it has."""
-    found = docs.select("text").mapInArrow(_frequencies, "token string, n long")
-    distinct = found.groupBy("token").agg(F.sum("n").alias("n"))
-    return stage(distinct.mapInArrow(_counter(model_path), "token string, n long, pieces long"))
-
-
 def count_tokens(docs: DataFrame, model_path: str, limit: int) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) of every row of `docs` (doc_id, text).
 
     Null and empty texts have 0 bytes and 0 tokens. Repeated rows and repeated or null ids are counted row by row;
-    other columns are ignored; an empty table gives an empty result.
+    other columns are ignored; an empty table gives an empty result. Nothing is shuffled.
     """
-    spark = docs.sparkSession
-    table = piece_table(docs, model_path)
-    total = table.agg(F.sum("n")).scalar()
-    frequent = table.where((F.col("n") > total / HEAD) & (F.length("token") <= HEAD_CHARS))
-    head = spark.sparkContext.broadcast({x.token: x.pieces for x in frequent.select("token", "pieces").collect()})
-    schema = "doc_id {}, n_bytes long, known long, tokens array<string>, counts array<long>"
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text").mapInArrow(_per_document(head), schema.format(kind))
-    rows = stage(rows.withColumn("_row", F.monotonically_increasing_id()))
-    rest = rows.select("_row", F.explode(F.arrays_zip("tokens", "counts")).alias("x"))
-    rest = rest.select("_row", F.col("x.tokens").alias("token"), F.col("x.counts").alias("count"))
-    sums = rest.join(table, "token").groupBy("_row").agg(F.sum(F.col("count") * F.col("pieces")).alias("more"))
-    n_tokens = F.col("known") + F.coalesce("more", F.lit(0))
-    return (
-        rows.select("_row", "doc_id", "n_bytes", "known")
-        .join(sums, "_row", "left")
-        .select("doc_id", "n_bytes", n_tokens.alias("n_tokens"), (n_tokens > limit).alias("over_limit"))
-    )
+    schema = f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean"
+    return docs.select("doc_id", "text").mapInArrow(_counter(model_path, limit), schema)
