@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrec.llm import fingerprint, language, ngram_join, packing, shards, substring, suffixes, tokens, urls
+from quillrec.llm import decontaminate, fingerprint, language, ngram_join, packing, shards, substring, suffixes, tokens, urls
 
 TOKEN_LIMIT = 4096
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,6 +114,11 @@ def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.count_tokens(table(spark, folder, "documents"), tokenizer("piece_bpe_32k.model"), TOKEN_LIMIT)
 
 
+@query("op6_benchmark_decontamination")
+def op6_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query("op7_best_fit_packing")
 def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), tokenizer("word_bpe_49k.json"), TOKEN_LIMIT, end_id=1)
