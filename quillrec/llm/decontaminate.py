@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillrec.llm.words import LOWER, split_words
+from quillrec.llm.words import split_words
 from quillrec.session import stage
 
 PUNCTUATION = b""".,;:!?"'()[]{}<>|*#$%&-_/\\`~"""
@@ -27,7 +27,7 @@ RANK = 64
 MAX_SHARE = 0.05  # words in more passages than this carry no weight
 MIN_WORDS = 8  # shorter items are not searched for
 MIN_TERMS = 3  # weighted words that a window or item needs for a direction
-COSINE = 0.45
+COSINE = 0.4
 STRONG, WEAK, ANSWER = 0.75, 0.6, 0.75
 GROUP_WORDS = 400_000
 TERM_BLOCK = 512
@@ -35,8 +35,12 @@ MAX_CACHED = 1_000_000
 
 
 def tokens(data: bytes) -> list[bytes]:
-    """Words with A-Z lower-cased and outer punctuation taken off; positions count words as split."""
-    return [w.strip(PUNCTUATION) for w in split_words(data.translate(LOWER))]
+    """Words in lower case with outer punctuation taken off; positions count words as split."""
+    return [w.strip(PUNCTUATION) for w in lower_words(data)]
+
+
+def lower_words(data: bytes) -> list[bytes]:
+    return split_words(data.decode().lower().encode())
 
 
 class WordCodes(dict):
@@ -86,7 +90,7 @@ def _coder(vocabulary: dict[bytes, int]):
         for batch in batches:
             out = []
             for data in batch.column(1).to_pylist():
-                words = split_words((data or b"").translate(LOWER))
+                words = lower_words(data or b"")
                 out.append(np.fromiter(map(known.__getitem__, words), "<i4", len(words)).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "codes"])
 
