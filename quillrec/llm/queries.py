@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrec.llm import decontaminate, fingerprint, language, ngram_join, packing, shards, substring, suffixes, tokens, urls
+from quillrec.llm import decontaminate, fingerprint, language, ngram_join, packing, quality, shards, substring, suffixes, tokens, urls
 
 TOKEN_LIMIT = 4096
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,6 +132,13 @@ def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.predict(docs, network, "doc_id", held_out.alias("held_out"))
 
 
+@query("op9_quality_classifier")
+def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents' sources are the hosts, their languages the paths below."""
+    labels = table(spark, folder, "labels").withColumnRenamed("quality", "good")
+    return quality.classify(table(spark, folder, "documents"), labels, F.col("source"), F.col("lang"))
+
+
 URL_RULES = [
     urls.Rule("net", "/", "block"),
     urls.Rule("example.net", "/en/", "allow"),
