@@ -7,19 +7,24 @@ Pieces then take the slot of their rank within their length.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillrec.session import stage
 
-MAX_CACHED = 300_000
+MAX_CACHED = 400_000
+MAX_CHUNK = 64
+# Chunks whose parts can be told without the tokenizer's normaliser: ASCII without apostrophes, and Latin-1 letters.
+PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:-@\[-`{-~]+")
+PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 PIECE_SCHEMA = "doc_id {}, piece int, start long, length long, ids_crc32 long"
 
 
@@ -68,25 +73,55 @@ def plan_slots(histogram: dict[int, int], capacity: int) -> list[Slots]:
     return slots
 
 
+class PartIds(dict):
+    """Little-endian ids of a lower-case run of letters, a digit or a run of punctuation."""
+
+    def __init__(self, tokenizer) -> None:
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        super().__init__()
+        self.model, self.level = tokenizer.model, ByteLevel(add_prefix_space=False, use_regex=False)
+
+    def __missing__(self, part: str) -> bytes:
+        symbols = part if part.isascii() else self.level.pre_tokenize_str(part)[0][0]
+        value = array("I", [x.id for x in self.model.tokenize(symbols)]).tobytes()
+        if len(self) >= MAX_CACHED:
+            self.clear()
+        if len(part) <= MAX_CHUNK:
+            self[part] = value
+        return value
+
+
+class ChunkIds(dict):
+    """Little-endian ids of a run of text without white space; no token crosses white space.
+
+    Plain chunks go to the tokenizer's own model part by part, so that new words cost one merge run and no
+    normalising; all others go through the whole tokenizer.
+    """
+
+    def __init__(self, tokenizer) -> None:
+        super().__init__()
+        self.tokenizer, self.parts = tokenizer, PartIds(tokenizer)
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        text = chunk.decode()
+        if PLAIN.fullmatch(text) and "<|" not in text:
+            value = b"".join(map(self.parts.__getitem__, PARTS.findall(text.lower())))
+        else:
+            value = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        if len(self) >= MAX_CACHED:
+            self.clear()
+        if len(chunk) <= MAX_CHUNK:
+            self[chunk] = value
+        return value
+
+
 def _cutter(tokenizer_path: str, capacity: int, end_id: int, kind: str):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(tokenizer_path)
-
-        class Ids(dict):
-            """Little-endian ids of a run of text without white space; no token crosses white space."""
-
-            def __missing__(self, word: bytes) -> bytes:
-                ids = tokenizer.encode(word.decode(), add_special_tokens=False).ids
-                value = np.asarray(ids, "<u4").tobytes()
-                if len(word) <= 32:
-                    if len(self) >= MAX_CACHED:
-                        self.clear()
-                    self[word] = value
-                return value
-
-        known, end = Ids(), int(end_id).to_bytes(4, "little")
+        known, end = ChunkIds(tokenizer), int(end_id).to_bytes(4, "little")
         step = 4 * capacity
         for batch in batches:
             where, numbers, starts, lengths, sums = [], [], [], [], []
