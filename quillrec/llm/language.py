@@ -152,39 +152,55 @@ def fit(labelled: DataFrame, per_language: int = 300, steps: int = 600) -> ByteN
     return train(texts, labels, steps)
 
 
+def predictions(network: ByteNetwork, texts: list[str | None]) -> list[tuple[str, float]]:
+    """Language and score of each text, from all windows of it."""
+    found: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
+    wanted = [i for i, t in enumerate(texts) if t and network.languages and any(map(str.isalpha, t))]
+    for group in _groups(wanted, texts):
+        data = [texts[i].encode() for i in group]
+        rows = [windows_of(x) for x in data]
+        scores = network.probabilities(np.concatenate(rows))
+        at = 0
+        for i, text, own in zip(group, data, rows, strict=True):
+            weights = np.full(len(own), WINDOW, np.float64)
+            weights[-1] = len(text) - WINDOW * (len(own) - 1)
+            mean = weights @ scores[at : at + len(own)].astype(np.float64) / weights.sum()
+            best = int(mean.argmax())
+            found[i] = (network.languages[best], min(1.0, float(mean[best])))
+            at += len(own)
+    return found
+
+
 def predict(docs: DataFrame, network: ByteNetwork, *keep: str | Column) -> DataFrame:
     """Columns `keep` of every row of `docs`, with lang_pred and score, from all windows of its whole `text`.
 
     A text's probabilities are the mean over its windows, by their bytes. Null texts and texts without a letter
     get `und` and 0, and so does everything if no language was learned; of equal languages the first wins.
     """
-    kept = docs.select(*keep)
-    schema = kept.schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
     names = schema.names
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            found: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
-            wanted = [i for i, t in enumerate(texts) if t and network.languages and any(map(str.isalpha, t))]
-            for group in _groups(wanted, texts):
-                data = [texts[i].encode() for i in group]
-                rows = [windows_of(x) for x in data]
-                scores = network.probabilities(np.concatenate(rows))
-                at = 0
-                for i, text, own in zip(group, data, rows, strict=True):
-                    weights = np.full(len(own), WINDOW, np.float64)
-                    weights[-1] = len(text) - WINDOW * (len(own) - 1)
-                    mean = weights @ scores[at : at + len(own)].astype(np.float64) / weights.sum()
-                    best = int(mean.argmax())
-                    found[i] = (network.languages[best], min(1.0, float(mean[best])))
-                    at += len(own)
+            found = predictions(network, batch.column(batch.num_columns - 1).to_pylist())
             predicted = [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *predicted], names)
 
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(apply, schema)
 
 
+def accepted(docs: DataFrame, network: ByteNetwork, least: float) -> DataFrame:
+    """The rows of `docs` whose text has a language, with a score of at least `least`."""
+    place = docs.columns.index("text")
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = predictions(network, batch.column(place).to_pylist())
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(apply, docs.schema)
+
+
 def _groups(wanted: list[int], texts: list[str], chars: int = 1 << 20) -> Iterator[list[int]]:
     """Rows in groups of about `chars` characters."""
     group, size = [], 0

@@ -130,3 +130,12 @@ def may_hold(session, bits: np.ndarray, key: Column) -> Column:
         return pd.Series((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
 
     return test(F.pmod(F.xxhash64(key), F.lit(slots)))
+
+
+def without(docs: DataFrame, ids: DataFrame, name: str = "doc_id") -> DataFrame:
+    """The rows of `docs` whose id key is not in `ids` (id). Only rows that the filter lets through are joined."""
+    key = id_key(name)
+    held = may_hold(docs.sparkSession, filter_bits(ids, docs.count()), key)
+    marked = docs.withColumn("_held", held)
+    doubtful = marked.where("_held").withColumn("_key", key).join(ids.select(F.col("id").alias("_key")), "_key", "left_anti")
+    return marked.where("not _held").select(*docs.columns).unionByName(doubtful.select(*docs.columns))
