@@ -134,8 +134,9 @@ def may_hold(session, bits: np.ndarray, key: Column) -> Column:
 
 def without(docs: DataFrame, ids: DataFrame, name: str = "doc_id") -> DataFrame:
     """The rows of `docs` whose id key is not in `ids` (id). Only rows that the filter lets through are joined."""
-    key = id_key(name)
-    held = may_hold(docs.sparkSession, filter_bits(ids, docs.count()), key)
-    marked = docs.withColumn("_held", held)
-    doubtful = marked.where("_held").withColumn("_key", key).join(ids.select(F.col("id").alias("_key")), "_key", "left_anti")
-    return marked.where("not _held").select(*docs.columns).unionByName(doubtful.select(*docs.columns))
+    key, columns = id_key(name), docs.columns
+    own = "_" + max([*columns, ""], key=len)  # longer than any column's name
+    marked = docs.withColumn(own, may_hold(docs.sparkSession, filter_bits(ids, docs.count()), key))
+    doubtful = marked.where(F.col(own)).withColumn(own, key)
+    doubtful = doubtful.join(ids.select(F.col("id").alias(own)), own, "left_anti")
+    return marked.where(~F.col(own)).select(*columns).unionByName(doubtful.select(*columns))
