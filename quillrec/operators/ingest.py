@@ -39,11 +39,13 @@ def import_popular(
     recipes: DataFrame,
     min_recipe: int = 5,
     min_user: int = 5,
-    max_recipes: int = 12_000,
-    max_users: int = 1_500,
-    max_interactions: int = 120_000,
+    max_recipes: int = 0,
+    max_users: int = 0,
+    max_interactions: int = 0,
 ) -> DataFrame:
-    """Rated interactions of popular recipes by active users, newest first, as canonical ratings.
+    """Rated interactions of popular recipes by active users as canonical ratings; 0 means no cap.
+
+    Caps keep the most used recipes, then the most active users, then the newest rows.
 
     The date column must be present for the user count and the final rows, not for the recipe count.
     """
@@ -52,10 +54,9 @@ def import_popular(
     dated = rated.where(F.col("date").isNotNull()).join(popular, "item_id", "left_semi")
     active = most_frequent(dated, "user_id", min_user, max_users)
     kept = dated.join(active, "user_id", "left_semi").withColumn("ts", date_epoch(F.col("date")))
-    newest = top_n(
-        kept, [F.desc("ts"), F.asc("user_id"), F.asc("item_id"), F.desc("rating")], max_interactions
-    )
-    unique = first_per_key(newest, ["user_id", "item_id", "ts"], [F.desc("rating")])
+    if max_interactions:
+        kept = top_n(kept, [F.desc("ts"), F.asc("user_id"), F.asc("item_id"), F.desc("rating")], max_interactions)
+    unique = first_per_key(kept, ["user_id", "item_id", "ts"], [F.desc("rating")])
     known = recipes.where(F.col("name").isNotNull()).select(F.col("id").try_cast("long").alias("item_id"))
     return unique.join(known, "item_id", "left_semi").select("user_id", "item_id", "rating", "ts")
 

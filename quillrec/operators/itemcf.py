@@ -10,35 +10,45 @@ from quillrec.operators.topk import top_k
 from quillrec.session import stage
 
 LIKED = 4.0
-MAX_LIKED = 100
+CHUNK = 100  # likes of a user that are paired in one row
 TOP_SIMILAR = 50
 SCORE_DIGITS = 6
 
 
-def liked_pairs(train: DataFrame, min_rating: float = LIKED, max_liked: int = MAX_LIKED) -> DataFrame:
-    """Distinct (user, item) among each user's `max_liked` best ratings of at least `min_rating`."""
+def liked_pairs(train: DataFrame, min_rating: float = LIKED, max_liked: int | None = None) -> DataFrame:
+    """Distinct (user, item) with a rating of at least `min_rating`; with `max_liked`, of each user's best so many."""
+    liked = train.where(F.col("rating") >= min_rating)
+    if max_liked is None:
+        return liked.select("user_id", "item_id").distinct()
     order = [F.desc("rating"), F.desc("ts"), F.desc("item_id")]
-    best = top_k(train.where(F.col("rating") >= min_rating), ["user_id"], order, max_liked)
-    return best.select("user_id", "item_id").distinct()
+    return top_k(liked, ["user_id"], order, max_liked).select("user_id", "item_id").distinct()
 
 
 def cooccurrence(liked: DataFrame) -> DataFrame:
     """(item_i, item_j, common, n_i, n_j) for i < j: users who like both, and who like each.
 
-    Each user's likes are at most MAX_LIKED by contract, so they are packed into one array and
-    half of the pairs are produced in place: no self-join, and the counts combine before the
-    shuffle. The like count of an item travels with it, so the pair table needs no further join.
+    Each user's likes are dealt into chunks of about CHUNK, and pairs are produced in place, within a chunk and
+    between two: no row holds or makes more than a few chunks' worth, however many likes a user has, and the
+    counts combine before the shuffle. The like count of an item travels with it.
     """
     counts = liked.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
-    packed = (
-        salted_join(liked, counts, "item_id")
-        .groupBy("user_id")
-        .agg(F.array_sort(F.collect_list(F.struct("item_id", "n"))).alias("likes"))
-    )
+    sizes = liked.groupBy("user_id").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    dealt = salted_join(liked, counts, "item_id").join(sizes, "user_id")
+    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("item_id"), F.col("chunks")).cast("int"))
+    entries = F.array_sort(F.collect_list(F.struct("item_id", "n")))
+    packed = dealt.groupBy("user_id", "chunk").agg(F.first("chunks").alias("chunks"), entries.alias("likes"))
     first = packed.select("likes", F.posexplode("likes").alias("pos", "a"))
-    later = F.slice("likes", F.col("pos") + 2, F.size("likes"))
-    pairs = first.select("a", F.explode(later).alias("b"))
-    return pairs.groupBy(
+    within = first.select("a", F.explode(F.slice("likes", F.col("pos") + 2, F.size("likes"))).alias("b"))
+    # Each chunk is sent to meet every later chunk of its user.
+    heavy = packed.where("chunks > 1")
+    early = heavy.where("chunk < chunks - 1").select(
+        "user_id", "likes", F.explode(F.sequence(F.col("chunk") + 1, F.col("chunks") - 1)).alias("chunk")
+    )
+    late = heavy.select("user_id", "chunk", F.col("likes").alias("others"))
+    across = early.join(late, ["user_id", "chunk"]).select(F.explode("likes").alias("x"), "others")
+    across = across.select("x", F.explode("others").alias("y"))
+    across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return within.unionByName(across).groupBy(
         F.col("a.item_id").alias("item_i"),
         F.col("b.item_id").alias("item_j"),
         F.col("a.n").alias("n_i"),
@@ -62,7 +72,7 @@ def itemcf_recall(
     train: DataFrame,
     top_n: int = 50,
     min_rating: float = LIKED,
-    max_liked: int = MAX_LIKED,
+    max_liked: int | None = None,
     k_similar: int = TOP_SIMILAR,
 ) -> DataFrame:
     """Top unseen items per user by summed similarity to the user's likes."""

@@ -58,20 +58,16 @@ def raw_recipes(d):
 @query(
     "src_2_import_popular",
     """SELECT user_id, item_id, max(rating) AS rating, ts FROM (
-         SELECT * FROM (
-           SELECT *, row_number() OVER (ORDER BY ts DESC, user_id, item_id, rating DESC) AS rn FROM raw_ratings
+         SELECT * FROM raw_ratings
            WHERE item_id IN (SELECT item_id FROM raw_ratings GROUP BY 1 HAVING count(*) >= 25
-                             ORDER BY count(*) DESC, item_id LIMIT 900)
-             AND user_id IN (
+) AND user_id IN (
                SELECT user_id FROM raw_ratings
-               WHERE item_id IN (SELECT item_id FROM raw_ratings GROUP BY 1 HAVING count(*) >= 25
-                                 ORDER BY count(*) DESC, item_id LIMIT 900)
-               GROUP BY 1 HAVING count(*) >= 10 ORDER BY count(*) DESC, user_id LIMIT 700))
-         WHERE rn <= 12000)
+               WHERE item_id IN (SELECT item_id FROM raw_ratings GROUP BY 1 HAVING count(*) >= 25)
+               GROUP BY 1 HAVING count(*) >= 10))
        GROUP BY user_id, item_id, ts""",
 )
 def import_popular(d):
-    return ingest.import_popular(raw_interactions(d), raw_recipes(d), 25, 10, 900, 700, 12_000)
+    return ingest.import_popular(raw_interactions(d), raw_recipes(d), 25, 10)
 
 
 @query(
@@ -577,7 +573,7 @@ def tag_cap(d):
 def liked_guard(d):
     from quillrec.operators.itemcf import liked_pairs
 
-    return liked_pairs(d.train)
+    return liked_pairs(d.train, max_liked=100)
 
 
 @query(

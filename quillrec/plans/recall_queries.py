@@ -125,7 +125,7 @@ view(
          SELECT *, sqrt(sum(x * x) OVER (PARTITION BY user_id)) AS n FROM (
            SELECT user_id, pos, avg(x) AS x FROM (
              SELECT user_id, unnest(vector) AS x, generate_subscripts(vector, 1) AS pos
-             FROM (SELECT user_id, item_id FROM liked_rows WHERE rn <= 100) l JOIN vectors USING (item_id))
+             FROM (SELECT user_id, item_id FROM liked_rows) l JOIN vectors USING (item_id))
            GROUP BY 1, 2)) GROUP BY user_id""",
 )
 
@@ -134,9 +134,8 @@ view(
     "rec_emb",
     """SELECT user_id, item_id, 'embedding' AS channel, score FROM (
          SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS place FROM (
-           SELECT user_id, item_id, score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rn FROM (
-             SELECT user_id, v.item_id, round(list_inner_product(t.vector, v.vector), 6) AS score FROM taste t CROSS JOIN vectors v)) s
-         WHERE rn <= 200 AND NOT EXISTS (SELECT 1 FROM seen WHERE seen.user_id = s.user_id AND seen.item_id = s.item_id))
+           SELECT user_id, v.item_id, round(list_inner_product(t.vector, v.vector), 6) AS score FROM taste t CROSS JOIN vectors v) s
+         WHERE NOT EXISTS (SELECT 1 FROM seen WHERE seen.user_id = s.user_id AND seen.item_id = s.item_id))
        WHERE place <= 50""",
 )
 def rec_emb(d):

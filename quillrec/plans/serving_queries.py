@@ -608,7 +608,7 @@ def message_file(d) -> str:
     broken = F.when(F.col("event_id") % 100 == 7, F.substring(body, 1, 20)).when(
         F.col("event_id") % 100 == 8, F.replace(body, F.lit('"recipe_id":'), F.lit('"other":'))
     )
-    good.select(F.coalesce(broken, body).alias("value")).repartition(4).write.text(path)
+    good.select(F.coalesce(broken, body).alias("value")).write.text(path)
     return path
 
 
@@ -670,10 +670,6 @@ LISTS = ("recent_events", "positive_items", "negative_items")
 
 
 def profile_stream(d) -> str:
-    d.spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
     return run_stream(d, fs.live_profile_stream(fs.good_events(messages(d)), ttl_ms=None), "profiles")
 
 
@@ -727,32 +723,48 @@ def str_seeds(d):
     return seeds.withColumn("weight", F.round("weight", DIGITS))
 
 
-@query(
-    "str_6_live_recommendations",
-    """SELECT user_id, item_id, score, CAST(rn AS INT) AS position FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rn FROM (
-         SELECT s.user_id, n.similar_id AS item_id, round(sum(n.score * s.weight), 10) AS score FROM seeds s JOIN (
+LIVE_SQL = """SELECT user_id, item_id, score, CAST(rn AS INT) AS position FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rn FROM (
+         SELECT s.user_id, n.similar_id AS item_id, round(sum(n.score * s.weight), 10) AS score FROM {seeds} s JOIN (
            SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, similar_id) AS rn FROM (
              SELECT a.item_id, b.item_id AS similar_id, round(list_inner_product(a.vector, b.vector), 6) AS score
              FROM vectors a JOIN vectors b ON a.item_id <> b.item_id)) WHERE rn <= 160) n ON n.item_id = s.item_id WHERE s.weight IS NOT NULL GROUP BY 1, 2) c
-         WHERE NOT EXISTS (SELECT 1 FROM seeds b WHERE b.user_id = c.user_id AND b.item_id = c.item_id))
-       WHERE rn <= 20""",
-)
+         WHERE NOT EXISTS (SELECT 1 FROM {seeds} b WHERE b.user_id = c.user_id AND b.item_id = c.item_id))
+       WHERE rn <= 20"""
+
+
+@query("str_6_live_recommendations", LIVE_SQL.format(seeds="seeds"))
 def str_recommendations(d):
     similar = nearest.similar_vectors(d.vectors, 160)
-    return fs.recommend_from_profiles(stage(log_profiles(d)), similar, 20).select("user_id", "item_id", "score", "position")
+    return fs.live_lists(stage(log_profiles(d)), similar, 20).select("user_id", "item_id", "score", "position")
 
 
-@query("snk_5_live_sink")
+view(
+    "stream_seeds",
+    """SELECT user_id, item_id, max(w) AS weight FROM (
+         SELECT user_id, item_id, CASE WHEN b > 0 THEN b * greatest(1 - 0.04 * (place - 1), 0.35) END AS w, feedback_type = 'dislike' AS neg FROM (
+           SELECT *, CASE feedback_type WHEN 'like' THEN 1.25 WHEN 'click' THEN 0.85
+                  WHEN 'rating' THEN greatest((feedback_value - 3) / 2, 0) ELSE 0 END AS b FROM (
+             SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM stream_events) WHERE place <= 50)
+         UNION ALL
+         SELECT user_id, item_id, 0.75, false FROM (
+           SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY last DESC) AS rn FROM (
+             SELECT user_id, item_id, max((ts, event_id)) AS last FROM stream_events WHERE feedback_type IN ('click', 'like', 'seen') GROUP BY 1, 2)) WHERE rn <= 20
+         UNION ALL
+         SELECT user_id, item_id, NULL, true FROM (
+           SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY last DESC) AS rn FROM (
+             SELECT user_id, item_id, max((ts, event_id)) AS last FROM stream_events
+             WHERE feedback_type IN ('dislike', 'not_interested') GROUP BY 1, 2)) WHERE rn <= 100)
+       WHERE w IS NOT NULL OR neg GROUP BY 1, 2""",
+)
+
+
+@query("snk_5_live_sink", LIVE_SQL.format(seeds="stream_seeds"))
 def live_sink(d):
-    """Stream to profiles to recommendations, one idempotent folder per batch."""
+    """Stream to profiles to recommendations, one idempotent folder per batch; each user's newest list counts."""
     similar = stage(nearest.similar_vectors(d.vectors, 160))
-    d.spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
     stream = fs.live_profile_stream(fs.good_events(messages(d)), ttl_ms=None)
-    path = run_stream(d, stream, "live", transform=lambda batch: fs.recommend_from_profiles(batch, similar, 20))
-    return d.spark.read.parquet(path)
+    path = run_stream(d, stream, "live", transform=lambda batch: fs.replacing_lists(batch, similar, 20))
+    return fs.newest_lists(d.spark, path, "user_id").select("user_id", "item_id", "score", "position")
 
 
 @query("str_7_event_counters", "SELECT feedback_type AS event_type, count(*) AS n FROM stream_events GROUP BY 1")

@@ -122,7 +122,7 @@ view(
        FROM (SELECT *, CASE WHEN s > 0 THEN sqrt(s) ELSE 1 END AS n FROM (
          SELECT *, list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x)) AS s FROM embeddings))""",
 )
-view("liked", "SELECT DISTINCT user_id, item_id FROM liked_rows WHERE rn <= 100")
+view("liked", "SELECT DISTINCT user_id, item_id FROM liked_rows")
 view(
     "cooc",
     """SELECT a.item_id AS item_i, b.item_id AS item_j, count(*) AS common FROM liked a JOIN liked b

@@ -219,6 +219,13 @@ def latest_per_key(spark: SparkSession, path: str, key: str) -> DataFrame:
     return best.select(key, "r.*")
 
 
+def newest_lists(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """Items of each key's newest batch over the batch folders: later lists replace earlier ones whole."""
+    df = spark.read.parquet(path)
+    newest = df.groupBy(key).agg(F.max("batch_id").alias("batch_id"))
+    return df.join(newest, [key, "batch_id"]).drop("batch_id").where(F.col("item_id").isNotNull())
+
+
 def profile_seeds(profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(seeds, blocked) of live recommendations from a table of profiles."""
     arrays = F.arrays_zip(
@@ -241,12 +248,17 @@ def profile_seeds(profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
     return weighted, weighted.select("user_id", "item_id").unionByName(disliked).distinct()
 
 
-def recommend_from_profiles(profiles: DataFrame, similar: DataFrame, k: int = 20) -> DataFrame:
+def live_lists(profiles: DataFrame, similar: DataFrame, k: int = 20) -> DataFrame:
     """Live recommendations of the users in `profiles`, from a precomputed neighbour table."""
     seeds, blocked = profile_seeds(profiles)
     return live_recommendations(seeds, blocked, similar, k)
 
 
+def replacing_lists(profiles: DataFrame, similar: DataFrame, k: int = 20) -> DataFrame:
+    """Live lists for a sink that keeps each user's newest list: a user without one gets a row without an item."""
+    return profiles.select("user_id").distinct().join(live_lists(profiles, similar, k), "user_id", "left")
+
+
 def windowed_rates(events: DataFrame, size: str = "10 minutes", slide: str = "1 minute", delay: str = "10 minutes") -> DataFrame:
     """Clicks, likes, dislikes and their share of events per sliding window; late rows within the delay count."""
     kind = F.col("feedback_type")

@@ -156,3 +156,15 @@ def test_quality_checks_raise(spark):
     df = spark.createDataFrame([(1, 1), (1, 1)], "a long, b long")
     with pytest.raises(ValueError, match="repeated=1"):
         quality.raise_on_violations(quality.unique_checks(df, ["a", "b"], "repeated"))
+
+
+def test_cooccurrence_of_a_user_with_many_likes(spark):
+    """Likes beyond one chunk are paired with all others of the user."""
+    from quillrec.operators import itemcf
+
+    likes = [(1, i) for i in range(230)] + [(2, i) for i in range(0, 230, 7)]
+    rows = itemcf.cooccurrence(spark.createDataFrame(likes, "user_id long, item_id long")).collect()
+    assert len(rows) == 230 * 229 // 2
+    assert all(r.item_i < r.item_j for r in rows)
+    common = {(r.item_i, r.item_j): r.common for r in rows}
+    assert all(n == 1 + (i % 7 == 0 and j % 7 == 0) for (i, j), n in common.items())
