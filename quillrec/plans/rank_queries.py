@@ -135,27 +135,36 @@ def enhanced(d):
     return rounded(df.select("user_id", "item_id", *names), names)
 
 
-@query("srt_4_negative_sample")
+@query(
+    "srt_4_negative_sample",
+    """SELECT user_id, item_id, 1 AS label FROM train WHERE rating >= 4
+       UNION ALL SELECT user_id, item_id, 0 FROM (
+         SELECT *, row_number() OVER (ORDER BY sha256('42:' || user_id || ':' || item_id || ':' || ts), user_id, item_id, ts) AS rn
+         FROM train WHERE rating <= 3)
+       WHERE rn <= (SELECT floor(count(*) * 0.5) FROM train WHERE rating >= 4)""",
+)
 def negative_sample(d):
     return features.labelled_pairs(d.train, negative_ratio=0.5)
 
 
 @query(
     "srt_5_stratified_sample",
-    """SELECT label, CAST(greatest(floor(5000 * count(*) / (SELECT count(*) FROM labelled)), 1) AS BIGINT) AS n FROM labelled GROUP BY label""",
+    """SELECT user_id, item_id, label FROM (
+         SELECT *, row_number() OVER (PARTITION BY label ORDER BY sha256('42:' || user_id || ':' || item_id), user_id, item_id) AS rn,
+                greatest(floor(5000 * count(*) OVER (PARTITION BY label) / count(*) OVER ()), 1) AS quota FROM labelled)
+       WHERE rn <= quota""",
 )
 def stratified_sample(d):
     pairs = features.labelled_pairs(d.train)
-    sample = features.stratified_sample(pairs, "label", ["user_id", "item_id"], 5000)
-    return sample.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return features.stratified_sample(pairs, "label", ["user_id", "item_id"], 5000).select("user_id", "item_id", "label")
 
 
-@query("srt_6_user_split")
+@query(
+    "srt_6_user_split",
+    """SELECT user_id, item_id, ts, CAST('0x' || substr(sha256('42:' || user_id), 1, 8) AS BIGINT) % 100 < 20 AS is_valid FROM train""",
+)
 def user_split(d):
-    valid = features.is_validation_user(F.col("user_id"))
-    return d.train.groupBy(valid.alias("is_valid")).agg(
-        F.count_distinct("user_id").alias("users"), F.count(F.lit(1)).alias("rows")
-    )
+    return d.train.select("user_id", "item_id", "ts", features.is_validation_user(F.col("user_id")).alias("is_valid"))
 
 
 # --- models ------------------------------------------------------------------------------------------

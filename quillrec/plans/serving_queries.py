@@ -374,7 +374,27 @@ def search_weighted(d):
     return search.weighted_search(queries, search_docs(d), "item_id", BOOSTS, 20, fuzzy=False)
 
 
-@query("qry_search_fuzzy")
+view(
+    "fuzzy_terms",
+    """SELECT query, term, word, 1 - levenshtein(term, word)::DOUBLE / least(length(term), length(word)) AS weight FROM (
+         SELECT DISTINCT query, unnest(regexp_extract_all(query, '\\w\\w+')) AS term FROM (
+           SELECT DISTINCT substr(clean_title, 1, 4) || substr(clean_title, 6, 20) AS query FROM items))
+       JOIN (SELECT DISTINCT word FROM postings)
+         ON levenshtein(term, word) <= CASE WHEN length(term) < 3 THEN 0 WHEN length(term) <= 5 THEN 1 ELSE 2 END""",
+)
+
+
+@query(
+    "qry_search_fuzzy",
+    """SELECT query, item_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, item_id) AS rn FROM (
+         SELECT query, item_id, max(s) AS score FROM (
+           SELECT query, item_id, field, round(sum(w), 6) AS s FROM (
+             SELECT query, term, item_id, field, max(weight * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))
+                    * CASE field WHEN 'title' THEN 4.0 ELSE 1.0 END) AS w
+             FROM fuzzy_terms JOIN postings USING (word) JOIN (SELECT field, word, count(*) AS df FROM postings GROUP BY 1, 2) USING (field, word)
+             JOIN (SELECT field, count(*) AS n, avg(len) AS avg_len FROM (SELECT DISTINCT item_id, field, len FROM postings) GROUP BY 1) USING (field)
+             GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3) GROUP BY 1, 2)) WHERE rn <= 20""",
+)
 def search_fuzzy(d):
     queries = d.items.select(F.concat(F.substring("clean_title", 1, 4), F.substring("clean_title", 6, 20)).alias("query"))
     return search.weighted_search(queries.distinct(), search_docs(d), "item_id", BOOSTS, 20)
