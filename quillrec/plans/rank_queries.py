@@ -244,12 +244,69 @@ def group_metrics(d):
     return evaluate.group_ranking_metrics(best.withColumn("label", (F.col("item_id") % 3 == 0).cast("int")), 10)
 
 
-@query("rnk_8_mmr")
+def greedy_sql(lists: str, n: int) -> str:
+    """Greedy picks from `lists` (user_id, gain, penalty, e = list of (item_id, rel, g) in tie-break order), one a step."""
+    overlap = "bit_count(a.g & b.g)::DOUBLE / greatest(bit_count(a.g | b.g), 1)"
+    return f"""SELECT user_id, gain, e[picks[place]].item_id AS item_id, e[picks[place]].rel AS rel, worths[place] AS worth, place
+       FROM (SELECT *, unnest(range(1, len(picks) + 1)) AS place FROM (
+         WITH RECURSIVE base AS MATERIALIZED (
+           SELECT *, list_transform(e, lambda a: list_transform(e, lambda b: {overlap})) AS m FROM ({lists})),
+         steps AS (
+           SELECT user_id, CAST([] AS BIGINT[]) AS picks, CAST([] AS DOUBLE[]) AS worths, list_transform(e, lambda a: 0::DOUBLE) AS worst FROM base
+           UNION ALL
+           SELECT user_id, list_append(picks, best), list_append(worths, v[best]),
+                  list_transform(range(1, len(e) + 1), lambda i: greatest(worst[i], m[best][i]))
+           FROM (SELECT *, list_position(v, list_max(v)) AS best FROM (
+             SELECT steps.*, e, m, list_transform(range(1, len(e) + 1), lambda i: CASE WHEN list_contains(picks, i) THEN '-infinity'::DOUBLE
+                      ELSE gain * e[i].rel - penalty * worst[i] END) AS v
+             FROM steps JOIN base USING (user_id) WHERE len(picks) < least({n}, len(e)))))
+         SELECT user_id, gain, e, picks, worths FROM steps JOIN base USING (user_id) WHERE len(picks) = least({n}, len(e))))"""
+
+
+view(
+    "genre_bits",
+    """SELECT item_id, bit_or(1::HUGEINT << CAST(place AS INT)) AS g FROM (SELECT DISTINCT item_id, lower(trim(unnest(genres))) AS genre FROM items)
+       JOIN (SELECT genre, row_number() OVER (ORDER BY genre) - 1 AS place FROM (
+         SELECT DISTINCT lower(trim(unnest(genres))) AS genre FROM items) WHERE genre <> '') USING (genre) GROUP BY item_id""",
+)
+GENRE_SET = "coalesce(g, 0)"
+view(
+    "mmr_lists",
+    f"""SELECT user_id, list({{'item_id': item_id, 'rel': rank_score, 'g': {GENRE_SET}}} ORDER BY rank_score DESC, merged_score DESC, item_id) AS e
+       FROM ranked50 LEFT JOIN genre_bits USING (item_id) GROUP BY user_id""",
+)
+
+
+@query(
+    "rnk_8_mmr",
+    f"""SELECT user_id, gain AS lambda_rel, item_id, rel AS rank_score, round(worth, 8) AS mmr_score, CAST(place AS INT) AS rank_position
+       FROM ({greedy_sql("SELECT user_id, 0.7::DOUBLE AS gain, 1 - 0.7::DOUBLE AS penalty, e FROM mmr_lists", 10)})""",
+)
 def mmr(d):
     return diversify.mmr(ranked50(d), d.items, 10, (0.7,))
 
 
-@query("qry_explore")
+view(
+    "explore_lists",
+    f"""SELECT user_id, list({{'item_id': item_id, 'rel': score, 'g': {GENRE_SET}}} ORDER BY rank_position, rank_score DESC, item_id) AS e FROM (
+         SELECT *, round(0.6::DOUBLE * (0.75::DOUBLE * rank_norm + 0.25::DOUBLE * rating) + 0.4::DOUBLE * (
+                  0.45::DOUBLE * novelty + 0.25::DOUBLE * coalesce(has_image, 0) + 0.2::DOUBLE * pop_norm + 0.1::DOUBLE * rating), 8) AS score FROM (
+           SELECT *, coalesce((rank_score - min(rank_score) OVER u) / nullif(max(rank_score) OVER u - min(rank_score) OVER u, 0), 0) AS rank_norm,
+                  coalesce((item_popularity - min(item_popularity) OVER u) / nullif(max(item_popularity) OVER u - min(item_popularity) OVER u, 0), 0) AS pop_norm,
+                  least(greatest(coalesce(item_avg_rating, 0) / 5, 0), 1) AS rating,
+                  CASE WHEN len(favorite_genres) > 0 THEN 1 - len(list_intersect(genres, favorite_genres))::DOUBLE
+                       / greatest(len(list_distinct(genres || favorite_genres)), 1) ELSE 0.35 END AS novelty
+           FROM ranked50 LEFT JOIN (SELECT item_id, genres, item_avg_rating, item_popularity, has_image FROM item_profile) USING (item_id)
+           LEFT JOIN genre_bits USING (item_id) LEFT JOIN (SELECT user_id, favorite_genres FROM user_profile) USING (user_id)
+           WINDOW u AS (PARTITION BY user_id))) GROUP BY user_id""",
+)
+
+
+@query(
+    "qry_explore",
+    f"""SELECT user_id, item_id, rel AS score, CAST(place AS INT) AS position
+       FROM ({greedy_sql("SELECT user_id, 1.0::DOUBLE AS gain, 0.12::DOUBLE * 0.4::DOUBLE AS penalty, e FROM explore_lists", 20)})""",
+)
 def explore(d):
     return diversify.explore(ranked50(d), d.user_profile, d.item_profile, 0.4, 20)
 
