@@ -34,11 +34,12 @@ from quillrec.llm.shards import (
     parts_for,
     scattered,
 )
-from quillrec.llm.words import LOWER, WordHashes, mixed, run_hashes, split_words
+from quillrec.llm.words import hashed_words, mixed, run_hashes, with_words
 from quillrec.operators.skew import salted_join
 from quillrec.session import stage
 
 GROUPS = 64  # coordinates of a point
+KINDS = ("<u1", "<u2", "<u4")
 FANOUT = 16
 KEYS = 2  # least hashes whose blocks are searched first
 BLOCK_ROWS = 4_000  # rows of a block in one task; larger blocks are cut
@@ -50,35 +51,72 @@ MAX_FREQUENT = 200_000
 SALT = np.uint64(0x2545F4914F6CDD1D)
 
 
-def shingles(known: WordHashes, data: bytes, width: int) -> np.ndarray:
+def shingles(words: np.ndarray, width: int) -> np.ndarray:
     """Sorted distinct hashes of the shingles of a text; a text of fewer words is one shingle, an empty one none."""
-    words = split_words(data.translate(LOWER))
-    return np.unique(run_hashes(known.of(words), min(width, len(words)))) if words else np.empty(0, np.uint64)
+    return np.unique(run_hashes(words, min(width, len(words)))) if len(words) else np.empty(0, np.uint64)
 
 
-def _point(hashes: np.ndarray) -> bytes:
-    """Shingles in each group; a count never stands for less than it is, so the bound holds."""
-    return np.minimum(np.bincount(hashes % np.uint64(GROUPS), minlength=GROUPS), 0xFFFFFFFF).astype("<u4").tobytes()
+def fine_groups(n: int) -> int:
+    """Coordinates of the finer point of a document of n shingles: a power of two, about eight shingles each."""
+    return max(GROUPS, 1 << (max(1, n) // 8).bit_length())
+
+
+def _point(hashes: np.ndarray, groups_: int) -> bytes:
+    """Shingles in each group, one, two or four bytes each as the greatest needs."""
+    counts = np.bincount(hashes % np.uint64(groups_), minlength=groups_)
+    return counts.astype(KINDS[np.searchsorted([1 << 8, 1 << 16], counts.max(), side="right")]).tobytes()
+
+
+def _points(data: list[bytes]) -> np.ndarray:
+    out = np.empty((len(data), GROUPS), np.uint32)
+    sizes = np.array([len(x) for x in data]) // GROUPS
+    for size, kind in zip((1, 2, 4), KINDS, strict=True):
+        at = np.flatnonzero(sizes == size)
+        if len(at):
+            out[at] = np.frombuffer(b"".join([data[i] for i in at.tolist()]), kind).reshape(-1, GROUPS)
+    return out
+
+
+def fine_bound(n: int, one: bytes, m: int, other: bytes) -> int:
+    """Most shingles that two documents can share by their finer points; the larger point is folded onto the other."""
+    points = []
+    for size, data in ((n, one), (m, other)):
+        width = len(data) // fine_groups(size)
+        points.append(np.frombuffer(data, f"<u{width}").astype(np.int64))
+    least = min(len(x) for x in points)
+    folded = [x.reshape(-1, least).sum(axis=0) for x in points]
+    return int(np.minimum(*folded).sum())
+
+
+def _finer(threshold: int):
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True)
+            kept = [(100 + threshold) * fine_bound(n, x, m, y) >= threshold * (n + m) for n, x, m, y in rows]
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    return sift
 
 
 def _features(width: int):
-    names = ["id", "n", "s1", "s2", "keys", "point"]
+    names = ["id", "n", "s1", "s2", "keys", "point", "fine"]
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch in batches:
-            sizes, first, second, keys, points = [], [], [], [], []
-            for data in batch.column(1).to_pylist():
-                own = shingles(known, data or b"", width)
+            sizes, first, second, keys, points, fine = [], [], [], [], [], []
+            for _, words in with_words(batch, 1, lower=True):
+                own = shingles(words, width)
                 sizes.append(len(own))
                 first.append(int(mixed(own).sum(dtype=np.uint64).astype(np.int64)))
                 second.append(int(mixed(own ^ SALT).sum(dtype=np.uint64).astype(np.int64)))
                 keys.append(own[:KEYS].astype(np.int64))
-                points.append(_point(own))
+                points.append(_point(own, GROUPS))
+                fine.append(_point(own, fine_groups(len(own))))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()),
                     pa.array(second, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(points, pa.binary()),
+                    pa.array(fine, pa.binary()),
                 ],
                 names,
             )
@@ -168,7 +206,7 @@ def _search(threshold: int, best: bool):
         if not len(tables):
             return
         key, low, high, chunk, ids, sizes, component = (tables.column(i).to_numpy() for i in range(7))
-        points = np.frombuffer(b"".join(tables.column(7).to_pylist()), "<u4").reshape(-1, GROUPS)
+        points = _points(tables.column(7).to_pylist())
         order = np.lexsort((ids, sizes, high, low, key))
         key, low, high, chunk, ids, sizes, component = (
             x[order] for x in (key, low, high, chunk, ids, sizes, component)
@@ -202,7 +240,7 @@ def _frequencies(width: int):
     """Groups of shingle hashes that are far more frequent than others in a task."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts, held, size = WordHashes(), np.zeros(FREQUENCY_GROUPS, np.int64), [], 0
+        counts, held, size = np.zeros(FREQUENCY_GROUPS, np.int64), [], 0
 
         def add() -> None:
             nonlocal held, size
@@ -211,8 +249,8 @@ def _frequencies(width: int):
             held, size = [], 0
 
         for batch in batches:
-            for data in batch.column(0).to_pylist():
-                held.append(shingles(known, data or b"", width) >> np.uint64(8))
+            for _, words in with_words(batch, 0, lower=True):
+                held.append(shingles(words, width) >> np.uint64(8))
                 size += len(held[-1])
                 if size >= GROUP_WORDS:
                     add()
@@ -245,7 +283,7 @@ def rarest(own: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], threshold:
 
 def _rarest(width: int, threshold: int, shards: int, shared):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, frequent, held, size = WordHashes(), shared.value, [], 0
+        frequent, held, size = shared.value, [], 0
 
         def emit() -> pa.RecordBatch:
             tokens = np.concatenate([x for _, x in held] or [np.empty(0, np.uint64)])
@@ -254,10 +292,10 @@ def _rarest(width: int, threshold: int, shards: int, shared):
             return packed([(s, t.astype("<u8").tobytes(), deltas(d)) for s, (t, d) in scattered(shard, tokens, ids)])
 
         for batch in batches:
-            for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = shingles(known, data or b"", width)
+            for row, words in with_words(batch, 1, lower=True):
+                own = shingles(words, width)
                 if len(own):
-                    held.append((key, rarest(own, frequent, threshold)))
+                    held.append((row[0], rarest(own, frequent, threshold)))
                     size += len(held[-1][1])
                 if size >= GROUP_WORDS:
                     yield emit()
@@ -281,13 +319,13 @@ def _shared_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def _compare(width: int, threshold: int):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, last, last_set = WordHashes(), None, None
+        last, last_set = None, None
         for batch in batches:
             linked = []
-            for b, one, other in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            for (_, b, _, other), words in with_words(batch, 2, lower=True):
                 if last != b:
-                    last, last_set = b, shingles(known, other or b"", width)
-                own = shingles(known, one or b"", width)
+                    last, last_set = b, shingles(hashed_words([other or b""], lower=True)[0], width)
+                own = shingles(words, width)
                 both = len(np.intersect1d(own, last_set, assume_unique=True))
                 linked.append(100 * both >= threshold * (len(own) + len(last_set) - both))
             keep = np.flatnonzero(linked)
@@ -296,9 +334,12 @@ def _compare(width: int, threshold: int):
     return compare
 
 
-def linked(docs: DataFrame, pairs: DataFrame, rows: int, width: int, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough, staged."""
-    pairs = stage(pairs.distinct())
+def linked(docs: DataFrame, pairs: DataFrame, points: DataFrame, rows: int, width: int, threshold: int) -> DataFrame:
+    """The pairs (a, b) whose texts are similar enough, staged; texts move only for pairs in reach by finer points."""
+    one = points.select(F.col("id").alias("a"), F.col("n").alias("n1"), F.col("fine").alias("fine1"))
+    other = points.select(F.col("id").alias("b"), F.col("n").alias("n2"), F.col("fine").alias("fine2"))
+    both = pairs.distinct().join(one, "a").join(other, "b").select("a", "b", "n1", "fine1", "n2", "fine2")
+    pairs = stage(both.mapInArrow(_finer(threshold), "a long, b long"))
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
     wanted = docs.where(may_hold(docs.sparkSession, filter_bits(ids, rows), id_key()))
     wanted = wanted.select(id_key().alias("id"), F.col("text").cast("binary").alias("text"))
@@ -338,20 +379,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 75) -> Dat
     """
     spark = docs.sparkSession
     rows = docs.select(id_key().alias("id"), F.col("text").cast("binary").alias("text"))
-    kinds = "id long, n long, s1 long, s2 long, keys array<long>, point binary"
+    kinds = "id long, n long, s1 long, s2 long, keys array<long>, point binary, fine binary"
     features = stage(rows.mapInArrow(_features(width), kinds).withColumn("sets", F.concat_ws("/", "s1", "s2")))
     count = features.count()
     first = features.where("n > 0").groupBy("sets").agg(F.min("id").alias("rep"))
     members = salted_join(features.select("id", "n", "sets"), first, "sets", "left")
     members = stage(members.select("id", "n", F.coalesce("rep", "id").alias("rep")))
-    points = features.where("n > 0").select("id", "n", "point", "keys")
+    points = features.where("n > 0").select("id", "n", "point", "fine", "keys")
     points = points.join(members.where("id = rep").select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
     points = stage(points)
 
     blocks = points.select("id", "n", F.col("id").alias("component"), "point", F.explode("keys").alias("key"))
     large = blocks.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > BLOCK_ROWS)
     near = _cut(blocks, large, crossed=False).repartition("key", "low", "high").mapInArrow(_search(threshold, True), "a long, b long")
-    links = linked(docs, near, count, width, threshold)
+    links = linked(docs, near, points, count, width, threshold)
     gathered_in = components(links)
 
     parts = parts_for(docs, BYTES_PER_PART)
@@ -368,7 +409,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 75) -> Dat
     blocks = blocks.join(points.select("id", "n", "point"), "id").select("id", "n", "component", "point", "key")
     large = open_blocks.where(F.col("rows") > BLOCK_ROWS)
     near = _cut(blocks, large, crossed=True).repartition("key", "low", "high").mapInArrow(_search(threshold, False), "a long, b long")
-    links = links.unionByName(linked(docs, near, count, width, threshold))
+    links = links.unionByName(linked(docs, near, points, count, width, threshold))
     found = components(links).withColumnRenamed("id", "rep")
     return members.join(found, "rep", "left").select(
         "id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component")
