@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillrec.llm.words import mixed
+from quillrec.session import stage
+
 FIRST_ID = -(1 << 63)  # stands for a null id: it comes before all others
 SHARDS_PER_PART = 8
 MAX_FILTER_BITS = 1 << 28
@@ -97,6 +100,24 @@ def by_id(ids: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
     )
 
 
+def to_owners(ids: np.ndarray, values: np.ndarray, shards: int) -> pa.RecordBatch:
+    """Values packed for the shards of the documents they are of."""
+    order = np.argsort(ids, kind="stable")
+    ids, values = ids[order], values[order]
+    shard = (mixed(ids.view(np.uint64)) % np.uint64(shards)).astype(np.int32)
+    return packed([(s, v.astype("<u8").tobytes(), deltas(d)) for s, (v, d) in scattered(shard, values, ids)])
+
+
+def _owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    _, values, ids = gathered(batches, "<u8")
+    yield by_id(ids, values)
+
+
+def by_owner(found: DataFrame, parts: int) -> DataFrame:
+    """(id, found): what `to_owners` sent to each document, one row a document, staged."""
+    return stage(found.repartition(parts, "shard").mapInArrow(_owned, "id long, found binary"))
+
+
 def runs_of(covered: np.ndarray) -> np.ndarray:
     """Starts and ends (n, 2) of the runs of True."""
     edges = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]]).astype(np.int8)))

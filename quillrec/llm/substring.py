@@ -21,7 +21,7 @@ from pyspark.sql.types import StructType
 from quillrec.llm.shards import (
     PACKED,
     SHARDS_PER_PART,
-    by_id,
+    by_owner,
     deltas,
     filter_bits,
     gathered,
@@ -32,12 +32,12 @@ from quillrec.llm.shards import (
     parts_for,
     runs_of,
     scattered,
+    to_owners,
 )
-from quillrec.llm.words import WordHashes, run_hashes, split_words
-from quillrec.session import stage
+from quillrec.llm.words import hashed_words, run_hashes, split_words, with_words
 
-GROUP_WORDS = 1_000_000  # words whose windows a task holds before it hands them on
-BYTES_PER_PART = 12_000_000
+GROUP_WORDS = 300_000  # words whose windows a task holds before it hands them on
+BYTES_PER_PART = 8_000_000
 KEY_BITS = np.uint64(31)
 LAST_ID = np.int64((1 << 63) - 1)
 
@@ -60,12 +60,12 @@ def _probes(block: int, shards: int):
         return packed(rows)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, size = WordHashes(), [], 0
+        held, size = [], 0
         for batch in batches:
-            for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                hashes = run_hashes(known.of(split_words(data or b"")), block)
+            for row, words in with_words(batch, 1):
+                hashes = run_hashes(words, block)
                 if len(hashes):
-                    held.append((key, hashes))
+                    held.append((row[0], hashes))
                     size += len(hashes)
                 if size >= GROUP_WORDS:
                     yield emit(held)
@@ -75,8 +75,16 @@ def _probes(block: int, shards: int):
     return probe
 
 
-def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _hits(shards: int):
     """Blocks that are an index block of a smaller document, and index blocks that a greater document probes."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield to_owners(*_hit_blocks(batches), shards)
+
+    return find
+
+
+def _hit_blocks(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
     shard, entries, ids = gathered(batches, "<u4")
     keys, marked = shard << KEY_BITS | entries >> np.uint64(1), (entries & np.uint64(1)).astype(bool)
     order, first, group = groups(keys)
@@ -86,7 +94,7 @@ def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         greatest = np.maximum.reduceat(ids, first)[group]
         hit = (ids > smallest) | (marked & (ids < greatest))
         keys, ids = keys[hit], ids[hit]
-    yield by_id(ids, keys)
+    return ids, keys
 
 
 def _candidates(window: int, block: int, shards: int):
@@ -100,16 +108,15 @@ def _candidates(window: int, block: int, shards: int):
         return packed(rows)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, size = WordHashes(), [], 0
+        held, size = [], 0
         for batch in batches:
-            for key, data, found in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                words = known.of(split_words(data or b""))
+            for (key, _, found), words in with_words(batch, 1):
                 blocks, windows = run_hashes(words, block), run_hashes(words, window)
                 if not len(windows):
                     continue
                 shard, rest = anchor_keys(blocks, shards)
                 keys = shard.astype(np.uint64) << KEY_BITS | rest
-                hit = np.isin(keys, np.frombuffer(b"".join(found), "<u8"))
+                hit = np.isin(keys, np.frombuffer(found, "<u8"))
                 near = np.cumsum(np.concatenate([[0], hit]))
                 at = np.arange(len(windows))
                 windows = windows[near[at + window - block + 1] > near[at]]
@@ -124,8 +131,16 @@ def _candidates(window: int, block: int, shards: int):
     return find
 
 
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _repeats(shards: int):
     """Windows that also start in a smaller document."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield to_owners(*_repeated(batches), shards)
+
+    return find
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
     _, hashes, ids = gathered(batches, "<u8")
     order, first, group = groups(hashes)
     if len(hashes):
@@ -135,12 +150,11 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = np.ones(len(ids), bool)
         kept[1:] = (hashes[1:] != hashes[:-1]) | (ids[1:] != ids[:-1])
         hashes, ids = hashes[kept], ids[kept]
-    yield by_id(ids, hashes)
+    return ids, hashes
 
 
 def _finish(window: int, names: list[str], carried: int):
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch in batches:
             sizes, texts, starts, ends = [], [], [], []
             found = batch.column(carried + 1).to_pylist() if batch.num_columns > carried + 1 else None
@@ -148,8 +162,8 @@ def _finish(window: int, names: list[str], carried: int):
                 words = split_words(data or b"")
                 spans = np.empty((0, 2), int)
                 if found is not None and found[i]:
-                    hashes = run_hashes(known.of(words), window)
-                    again = np.isin(hashes, np.frombuffer(b"".join(found[i]), "<u8"))
+                    hashes = run_hashes(hashed_words([data])[0], window)
+                    again = np.isin(hashes, np.frombuffer(found[i], "<u8"))
                     steps = np.zeros(len(words) + 1, int)
                     at = np.flatnonzero(again)
                     np.add.at(steps, at, 1)
@@ -177,13 +191,11 @@ def repeated_windows(docs: DataFrame, window: int, block: int) -> DataFrame:
     parts = parts_for(docs, BYTES_PER_PART)
     shards = SHARDS_PER_PART * parts
     rows = docs.select(id_key().alias("id"), F.col("text").cast("binary").alias("text"))
-    probes = rows.mapInArrow(_probes(block, shards), PACKED)
-    hits = stage(probes.repartition(parts, "shard").mapInArrow(_hits, "id long, found binary"))
-    held = may_hold(docs.sparkSession, filter_bits(hits, docs.count()), id_key())
-    hits = hits.groupBy("id").agg(F.collect_list("found").alias("found"))  # as long as the document at most
-    wanted = docs.where(held).select(id_key().alias("id"), F.col("text").cast("binary").alias("text"))
+    probes = rows.mapInArrow(_probes(block, shards), PACKED).repartition(parts, "shard")
+    hits = by_owner(probes.mapInArrow(_hits(shards), PACKED), parts)
+    wanted = rows.where(may_hold(docs.sparkSession, filter_bits(hits, docs.count()), F.col("id")))
     windows = wanted.join(hits, "id").mapInArrow(_candidates(window, block, shards), PACKED)
-    return stage(windows.repartition(parts, "shard").mapInArrow(_repeats, "id long, found binary"))
+    return by_owner(windows.repartition(parts, "shard").mapInArrow(_repeats(shards), PACKED), parts)
 
 
 def dedup_substrings(docs: DataFrame, *keep: str, window: int = 13) -> DataFrame:
@@ -206,7 +218,6 @@ def dedup_substrings(docs: DataFrame, *keep: str, window: int = 13) -> DataFrame
     for field in StructType.fromDDL("n_words long, kept binary, starts array<long>, ends array<long>").fields:
         schema = schema.add(field)
     finish = _finish(window, schema.names, len(carried))
-    found = found.groupBy("id").agg(F.collect_list("found").alias("found"))
     clean = marked.where(~F.col("held")).select(*carried, "data").mapInArrow(finish, schema)
     cut = marked.where("held").join(found, "id", "left").select(*carried, "data", "found").mapInArrow(finish, schema)
     spans = F.transform(
