@@ -7,8 +7,10 @@ of what lies below) leaves out whatever cannot reach the wanted overlap. What su
 One tree for all documents would have boxes that hold nearly everything, so a forest stands over blocks: any two
 similar documents share one of their rarest shingles (as many as could differ, and one), and each shingle is a block.
 Equal sets are joined first. Then each document looks for its best partner in the blocks of its two least shingle
-hashes, which gathers most groups of copies. After that only blocks with different components remain, and in these
-every surviving pair across components is compared, so no link between components is lost.
+hashes, which gathers most groups of copies. After that only blocks with different components remain; there each
+document looks for its best partner once more, and in what is then left every surviving pair across components is
+compared, so no link between components is lost. Survivors of a tree are bounded again by finer points before they
+leave the task, and their texts are compared last.
 """
 
 from __future__ import annotations
@@ -77,25 +79,26 @@ def _points(data: list[bytes]) -> np.ndarray:
     return out
 
 
-def fine_bound(n: int, one: bytes, m: int, other: bytes) -> int:
-    """Most shingles that two documents can share by their finer points; the larger point is folded onto the other."""
-    points = []
-    for size, data in ((n, one), (m, other)):
-        width = len(data) // fine_groups(size)
-        points.append(np.frombuffer(data, f"<u{width}").astype(np.int64))
-    least = min(len(x) for x in points)
-    folded = [x.reshape(-1, least).sum(axis=0) for x in points]
-    return int(np.minimum(*folded).sum())
+def finer_bounds(i: np.ndarray, j: np.ndarray, fine: list[bytes], sizes: np.ndarray) -> np.ndarray:
+    """Most shingles that each pair can share by its finer points; the larger point is folded onto the other."""
+    wide: dict[int, np.ndarray] = {}
 
+    def point(k: int) -> np.ndarray:
+        if k not in wide:
+            if len(wide) > 20_000:
+                wide.clear()
+            wide[k] = np.frombuffer(fine[k], f"<u{len(fine[k]) // fine_groups(int(sizes[k]))}").astype(np.int64)
+        return wide[k]
 
-def _finer(threshold: int):
-    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True)
-            kept = [(100 + threshold) * fine_bound(n, x, m, y) >= threshold * (n + m) for n, x, m, y in rows]
-            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
-
-    return sift
+    out = np.empty(len(i), np.int64)
+    for at, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+        one, other = point(a), point(b)
+        if len(one) > len(other):
+            one = one.reshape(-1, len(other)).sum(axis=0)
+        elif len(other) > len(one):
+            other = other.reshape(-1, len(one)).sum(axis=0)
+        out[at] = np.minimum(one, other).sum()
+    return out
 
 
 def _features(width: int):
@@ -207,6 +210,7 @@ def _search(threshold: int, best: bool):
             return
         key, low, high, chunk, ids, sizes, component = (tables.column(i).to_numpy() for i in range(7))
         points = _points(tables.column(7).to_pylist())
+        fine = tables.column(8).to_pylist()
         order = np.lexsort((ids, sizes, high, low, key))
         key, low, high, chunk, ids, sizes, component = (
             x[order] for x in (key, low, high, chunk, ids, sizes, component)
@@ -223,16 +227,19 @@ def _search(threshold: int, best: bool):
             first = np.ones(len(j), bool)
             first[1:] = j[1:] != j[:-1]
             i, j = i[first], j[first]
+        bound = finer_bounds(i, j, [fine[k] for k in order.tolist()], sizes)
+        near = (100 + threshold) * bound >= threshold * (sizes[i] + sizes[j])
+        i, j = i[near], j[near]
         pairs = np.unique(np.stack([ids[j], ids[i]], 1), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     return search
 
 
-BLOCKS = "key long, low int, high int, chunk int, id long, n long, component long, point binary"
+BLOCKS = "key long, low int, high int, chunk int, id long, n long, component long, point binary, fine binary"
 BLOCK_FIELDS = [
     ("key", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("chunk", pa.int32()),
-    ("id", pa.int64()), ("n", pa.int64()), ("component", pa.int64()), ("point", pa.binary()),
+    ("id", pa.int64()), ("n", pa.int64()), ("component", pa.int64()), ("point", pa.binary()), ("fine", pa.binary()),
 ]
 
 
@@ -334,12 +341,9 @@ def _compare(width: int, threshold: int):
     return compare
 
 
-def linked(docs: DataFrame, pairs: DataFrame, points: DataFrame, rows: int, width: int, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough, staged; texts move only for pairs in reach by finer points."""
-    one = points.select(F.col("id").alias("a"), F.col("n").alias("n1"), F.col("fine").alias("fine1"))
-    other = points.select(F.col("id").alias("b"), F.col("n").alias("n2"), F.col("fine").alias("fine2"))
-    both = pairs.distinct().join(one, "a").join(other, "b").select("a", "b", "n1", "fine1", "n2", "fine2")
-    pairs = stage(both.mapInArrow(_finer(threshold), "a long, b long"))
+def linked(docs: DataFrame, pairs: DataFrame, rows: int, width: int, threshold: int) -> DataFrame:
+    """The pairs (a, b) whose texts are similar enough, staged."""
+    pairs = stage(pairs.distinct())
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
     wanted = docs.where(may_hold(docs.sparkSession, filter_bits(ids, rows), id_key()))
     wanted = wanted.select(id_key().alias("id"), F.col("text").cast("binary").alias("text"))
@@ -350,7 +354,7 @@ def linked(docs: DataFrame, pairs: DataFrame, points: DataFrame, rows: int, widt
 
 
 def _cut(blocks: DataFrame, sizes: DataFrame, crossed: bool) -> DataFrame:
-    """Blocks (key, id, n, component, point) with parts of large ones: `sizes` has (key, rows) of those.
+    """Blocks (key, id, n, component, point, fine) with parts of large ones: `sizes` has (key, rows) of those.
 
     With `crossed` every two parts of a block meet; else each part is searched alone.
     """
@@ -365,7 +369,7 @@ def _cut(blocks: DataFrame, sizes: DataFrame, crossed: bool) -> DataFrame:
         )
         cells = F.when(parts > 1, others).otherwise(cells)
     rows = rows.withColumn("cell", F.explode(cells))
-    return rows.select("key", "cell.low", "cell.high", "chunk", "id", "n", "component", "point")
+    return rows.select("key", "cell.low", "cell.high", "chunk", "id", "n", "component", "point", "fine")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 75) -> DataFrame:
@@ -389,27 +393,30 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 75) -> Dat
     points = points.join(members.where("id = rep").select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
     points = stage(points)
 
-    blocks = points.select("id", "n", F.col("id").alias("component"), "point", F.explode("keys").alias("key"))
-    large = blocks.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > BLOCK_ROWS)
-    near = _cut(blocks, large, crossed=False).repartition("key", "low", "high").mapInArrow(_search(threshold, True), "a long, b long")
-    links = linked(docs, near, points, count, width, threshold)
-    gathered_in = components(links)
+    def searched(blocks: DataFrame, large: DataFrame, best: bool) -> DataFrame:
+        cut = _cut(blocks, large.where(F.col("rows") > BLOCK_ROWS), crossed=not best).repartition("key", "low", "high")
+        near = cut.mapInArrow(_search(threshold, best), "a long, b long")
+        return linked(docs, near, count, width, threshold)
+
+    blocks = points.select("id", "n", F.col("id").alias("component"), "point", "fine", F.explode("keys").alias("key"))
+    links = searched(blocks, blocks.groupBy("key").agg(F.count("*").alias("rows")), best=True)
 
     parts = parts_for(docs, BYTES_PER_PART)
     frequent = spark.sparkContext.broadcast(frequent_groups(docs, width))
     found = rows.mapInArrow(_rarest(width, threshold, SHARDS_PER_PART * parts, frequent), PACKED)
-    found = found.repartition(parts, "shard").mapInArrow(_shared_shingles, "key long, id long")
-    known = points.select("id").join(gathered_in, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-    found = stage(found.join(known, "id"))
-    open_blocks = found.groupBy("key").agg(
-        F.min("component").alias("least"), F.max("component").alias("greatest"), F.count("*").alias("rows")
-    )
-    open_blocks = stage(open_blocks.where("least < greatest").select("key", "rows"))
-    blocks = salted_join(found, open_blocks.select("key", F.lit(True).alias("open")), "key").drop("open")
-    blocks = blocks.join(points.select("id", "n", "point"), "id").select("id", "n", "component", "point", "key")
-    large = open_blocks.where(F.col("rows") > BLOCK_ROWS)
-    near = _cut(blocks, large, crossed=True).repartition("key", "low", "high").mapInArrow(_search(threshold, False), "a long, b long")
-    links = links.unionByName(linked(docs, near, points, count, width, threshold))
+    found = stage(found.repartition(parts, "shard").mapInArrow(_shared_shingles, "key long, id long"))
+    for best in (True, False):
+        known = points.select("id").join(components(links), "id", "left")
+        placed = found.join(known.select("id", F.coalesce("component", "id").alias("component")), "id")
+        open_blocks = placed.groupBy("key").agg(
+            F.min("component").alias("least"), F.max("component").alias("greatest"), F.count("*").alias("rows")
+        )
+        open_blocks = stage(open_blocks.where("least < greatest").select("key", "rows"))
+        found = stage(salted_join(found, open_blocks.select("key", F.lit(True).alias("open")), "key").drop("open"))
+        blocks = found.join(known.select("id", F.coalesce("component", "id").alias("component")), "id")
+        blocks = blocks.join(points.select("id", "n", "point", "fine"), "id")
+        blocks = blocks.select("id", "n", "component", "point", "fine", "key")
+        links = links.unionByName(searched(blocks, open_blocks, best))
     found = components(links).withColumnRenamed("id", "rep")
     return members.join(found, "rep", "left").select(
         "id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component")
