@@ -21,7 +21,7 @@ from pyspark.sql.types import StructType
 from quillrec.llm.shards import (
     PACKED,
     SHARDS_PER_PART,
-    by_id,
+    by_owner,
     deltas,
     filter_bits,
     gathered,
@@ -32,15 +32,15 @@ from quillrec.llm.shards import (
     parts_for,
     runs_of,
     scattered,
+    to_owners,
     undeltas,
 )
 from quillrec.llm.words import BASE, mixed
-from quillrec.session import stage
 
 ANCHOR = 32
-GROUP_BYTES = 2_000_000
+GROUP_BYTES = 1_000_000
 ROWS_AT_ONCE = 4096
-BYTES_PER_PART = 24_000_000
+BYTES_PER_PART = 8_000_000
 STRETCHES = "shard int, anchor long, text binary, ids binary, starts binary"
 
 
@@ -119,8 +119,16 @@ def _anchors(length: int, anchor: int, shards: int):
     return find
 
 
-def _repeated_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _repeated_anchors(shards: int):
     """Anchors that stand at more than one place, by document."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield to_owners(*_standing_twice(batches), shards)
+
+    return find
+
+
+def _standing_twice(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
     _, entries, ids = gathered(batches, "<u8")
     keys, twice = entries >> np.uint64(1), entries & np.uint64(1)
     order, first, group = groups(keys)
@@ -129,7 +137,7 @@ def _repeated_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         weight = np.add.reduceat(1 + twice[order].astype(np.int64), first)
         again = (weight > 1)[group]
         keys, ids = keys[again], ids[again]
-    yield by_id(ids, keys)
+    return ids, keys
 
 
 def _stretches(length: int, anchor: int, shards: int):
@@ -142,7 +150,7 @@ def _stretches(length: int, anchor: int, shards: int):
             edges = np.searchsorted(found.document, np.arange(len(held) + 1))
             for i, row in enumerate(held):
                 a, b = edges[i], edges[i + 1]
-                wanted[a:b] = np.isin(found.anchor[a:b], np.frombuffer(b"".join(row[2]), "<u8"))
+                wanted[a:b] = np.isin(found.anchor[a:b], np.frombuffer(row[2], "<u8"))
             places: dict[bytes, list[int]] = {}
             for k in np.flatnonzero(wanted).tolist():
                 text = found.data[found.first[k] : found.last[k] + length - 1]
@@ -196,7 +204,7 @@ def together(data: np.ndarray, starts: np.ndarray, group: np.ndarray, length: in
     return out
 
 
-def _sorted(length: int):
+def _sorted(length: int, shards: int):
     """Covered places of every document from the stretches of a shard."""
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +239,7 @@ def _sorted(length: int):
         if out_ids:
             ids = np.concatenate(out_ids)
             spans = np.concatenate(out_from).astype(np.uint64) << np.uint64(32) | np.concatenate(out_to).astype(np.uint64)
-            yield by_id(ids, spans)
+            yield to_owners(ids, spans, shards)
 
     return sort
 
@@ -245,7 +253,7 @@ def _finish(names: list[str], carried: int):
                 data = data or b""
                 spans = np.empty((0, 2), np.int64)
                 if found is not None and found[i]:
-                    both = np.frombuffer(b"".join(found[i]), "<u8")
+                    both = np.frombuffer(found[i], "<u8")
                     steps = np.zeros(len(data) + 1, np.int64)
                     np.add.at(steps, np.minimum(both >> np.uint64(32), len(data)).astype(np.int64), 1)
                     np.add.at(steps, np.minimum(both & np.uint64(0xFFFFFFFF), len(data)).astype(np.int64), -1)
@@ -286,11 +294,10 @@ def dedup_suffixes(docs: DataFrame, *keep: str, length: int = 200) -> DataFrame:
     rows = docs.select(id_key().alias("id"), F.col("text").cast("binary").alias("text"))
     n = docs.count()
     anchored = rows.mapInArrow(_anchors(length, ANCHOR, shards), PACKED).repartition(parts, "shard")
-    repeated = stage(anchored.mapInArrow(_repeated_anchors, "id long, found binary"))
+    repeated = by_owner(anchored.mapInArrow(_repeated_anchors(shards), PACKED), parts)
     wanted = rows.where(may_hold(spark, filter_bits(repeated, n), F.col("id")))
-    repeated = repeated.groupBy("id").agg(F.collect_list("found").alias("found"))  # shorter than the document
     sent = wanted.join(repeated, "id").mapInArrow(_stretches(length, ANCHOR, shards), STRETCHES)
-    covered = stage(sent.repartition(parts, "shard").mapInArrow(_sorted(length), "id long, found binary"))
+    covered = by_owner(sent.repartition(parts, "shard").mapInArrow(_sorted(length, shards), PACKED), parts)
     carried = [f"k{i}" for i in range(len(keep))]
     marked = docs.select(
         *[F.col(x).alias(k) for x, k in zip(keep, carried, strict=True)],
@@ -301,7 +308,6 @@ def dedup_suffixes(docs: DataFrame, *keep: str, length: int = 200) -> DataFrame:
     for field in StructType.fromDDL("n_bytes long, kept binary, starts array<long>, ends array<long>").fields:
         schema = schema.add(field)
     finish = _finish(schema.names, len(carried))
-    covered = covered.groupBy("id").agg(F.collect_list("found").alias("found"))
     clean = marked.where(~F.col("held")).select(*carried, "data").mapInArrow(finish, schema)
     cut = marked.where("held").join(covered, "id", "left").select(*carried, "data", "found").mapInArrow(finish, schema)
     spans = F.transform(
