@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from quillrec.operators.topk import supplement, top_k
 from quillrec.plans.rank_queries import ranked50
 from quillrec.plans.recall_queries import ingredient_bridge
 from quillrec.plans.registry import query, view
-from quillrec.session import shared_dir, stage
+from quillrec.session import DEFAULTS, shared_dir, stage
 from quillrec.sinks import tables as sinks
 from quillrec.sources import tables as sources
 from quillrec.streaming import feedback_stream as fs
@@ -689,8 +690,21 @@ PROFILE_SQL = """SELECT user_id, recent_events, coalesce(positive_items, '') AS
 LISTS = ("recent_events", "positive_items", "negative_items")
 
 
+@contextmanager
+def keyed_state(spark):
+    """Keyed state needs the RocksDB store; a session that was not built by `build_session` gets it for one stream."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, DEFAULTS[name])
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def profile_stream(d) -> str:
-    return run_stream(d, fs.live_profile_stream(fs.good_events(messages(d)), ttl_ms=None), "profiles")
+    with keyed_state(d.spark):
+        return run_stream(d, fs.live_profile_stream(fs.good_events(messages(d)), ttl_ms=None), "profiles")
 
 
 @query("str_3_live_profiles", PROFILE_SQL.format(source="stream_events"))
@@ -783,7 +797,8 @@ def live_sink(d):
     """Stream to profiles to recommendations, one idempotent folder per batch; each user's newest list counts."""
     similar = stage(nearest.similar_vectors(d.vectors, 160))
     stream = fs.live_profile_stream(fs.good_events(messages(d)), ttl_ms=None)
-    path = run_stream(d, stream, "live", transform=lambda batch: fs.replacing_lists(batch, similar, 20))
+    with keyed_state(d.spark):
+        path = run_stream(d, stream, "live", transform=lambda batch: fs.replacing_lists(batch, similar, 20))
     return fs.newest_lists(d.spark, path, "user_id").select("user_id", "item_id", "score", "position")
 
 
