@@ -27,7 +27,7 @@ RANK = 64
 MAX_SHARE = 0.05  # words in more passages than this carry no weight
 MIN_WORDS = 8  # shorter items are not searched for
 MIN_TERMS = 3  # weighted words that a window or item needs for a direction
-COSINE = 0.4
+COSINE = 0.45
 STRONG, WEAK, ANSWER = 0.75, 0.6, 0.75
 GROUP_WORDS = 400_000
 TERM_BLOCK = 512
@@ -251,6 +251,9 @@ def _searcher(shared, kind: str):
         sizes = spans_of([len(x) for x in items])
         size_of = np.searchsorted(sizes, [len(x) for x in items])
         masks = [lcs_masks(x) for x in items]
+        words_of = [frozenset(x.tolist()) for x in items]
+        # A subsequence has at most the distinct words in common and all of the item's repeats.
+        needed = [WEAK * len(x) - (len(x) - len(own)) for x, own in zip(items, words_of, strict=True)]
         tails = [x[-max(4, len(x) // 4) :] for x in items]
         tail_masks = [lcs_masks(x) for x in tails]
         for ids, codes, lengths in _groups(batches):
@@ -286,6 +289,8 @@ def _searcher(shared, kind: str):
                             continue
                         low, high = ends[d] - lengths[d], ends[d]
                         region = codes[max(low, start[row] - size // 2) : min(high, end[row] + size // 2)].tolist()
+                        if len(words_of[item].intersection(region)) < needed[item]:
+                            continue
                         common = lcs(masks[item], len(items[item]), region) / len(items[item])
                         if common < WEAK or (known and known[0] >= common):
                             continue
