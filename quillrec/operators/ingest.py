@@ -145,6 +145,7 @@ def recipe_tags(recipes: DataFrame) -> DataFrame:
     )
 
 
+# The display columns of an item.
 DISPLAY_COLUMNS = (
     "has_image",
     "image_url",
