@@ -27,7 +27,7 @@ RANK = 64
 MAX_SHARE = 0.05  # words in more passages than this carry no weight
 MIN_WORDS = 8  # shorter items are not searched for
 MIN_TERMS = 3  # weighted words that a window or item needs for a direction
-COSINE = 0.45
+COSINE = 0.4
 STRONG, WEAK, ANSWER = 0.75, 0.6, 0.75
 GROUP_WORDS = 400_000
 TERM_BLOCK = 512

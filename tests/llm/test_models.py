@@ -210,3 +210,43 @@ def test_lcs_with_bits():
                 new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
             row = new
         assert decontaminate.lcs(decontaminate.lcs_masks(np.array(a)), len(a), b) == row[-1]
+
+
+def leaks_of_all_windows(items: list[str], texts: list[str]) -> set[tuple[int, int]]:
+    """Pairs of a text and an item that the subsequence alone accepts, whatever the cosine."""
+    vocabulary: dict[bytes, int] = {}
+    coded = [[vocabulary.setdefault(w, len(vocabulary) + 1) for w in decontaminate.tokens(x.encode()) if w] for x in items]
+    sizes = decontaminate.spans_of([len(x) for x in coded])
+    found = set()
+    for d, text in enumerate(texts):
+        codes = [vocabulary.get(w, 0) for w in decontaminate.tokens(text.encode())]
+        for i, item in enumerate(coded):
+            size = next(x for x in sizes if x >= len(item))
+            tail = item[-max(4, len(item) // 4) :]
+            masks, tail_masks = (decontaminate.lcs_masks(np.array(x)) for x in (item, tail))
+            for start in range(0, max(0, len(codes) - size) + size // 4, size // 4):
+                region = codes[max(0, start - size // 2) : min(start + size, len(codes)) + size // 2]
+                common = decontaminate.lcs(masks, len(item), region) / len(item)
+                answer = decontaminate.lcs(tail_masks, len(tail), region) / len(tail)
+                if common >= decontaminate.STRONG or (common >= decontaminate.WEAK and answer >= decontaminate.ANSWER):
+                    found.add((d, i))
+    return found
+
+
+def test_paraphrases_in_mixed_windows(spark):
+    rng = random.Random(2)
+    items = [prose(rng, rng.randint(8, 30)) for _ in range(30)]
+    pool = " ".join(items).split()
+    texts = [prose(rng, rng.randint(100, 300)) for _ in range(400)]
+    for i in range(90):
+        words = items[i % 30].split()
+        for place in rng.sample(range(len(words) - max(4, len(words) // 4)), int(len(words) * 0.38)):
+            words[place] = rng.choice(pool)
+        before, after = (" ".join(rng.choices(pool, k=rng.randint(5, 60))) for _ in range(2))
+        texts.append(f"{before} {' '.join(words)} {after}")
+    wanted = leaks_of_all_windows(items, texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, bench).collect()}
+    assert len(wanted) == 90 and found <= wanted
+    assert len(found) >= 0.95 * len(wanted), len(found)
