@@ -3,7 +3,9 @@
 Texts are coded over the words of the benchmark. Passages of the corpus give term weights (TF-IDF) and, by a
 distributed randomised SVD, a latent space whose axes are scaled to equal spread. Overlapping windows of about an
 item's length are compared with the items by cosine there; candidates count as leaks if the longest common
-subsequence covers most of the item, or a good part of it together with its end, which holds the answer.
+subsequence covers most of the item, or a good part of it together with its end, which holds the answer. Items whose leaks may be
+left with too few weighted words for a direction are compared with every window that has enough of their words; short
+items are found as whole runs of words.
 """
 
 from __future__ import annotations
@@ -25,13 +27,14 @@ MAX_ITEM_BYTES = 64_000_000
 PASSAGE = 64
 RANK = 64
 MAX_SHARE = 0.05  # words in more passages than this carry no weight
-MIN_WORDS = 8  # shorter items are not searched for
+MIN_WORDS = 8  # shorter items are searched for as whole runs only
 MIN_TERMS = 3  # weighted words that a window or item needs for a direction
 COSINE = 0.4
 STRONG, WEAK, ANSWER = 0.75, 0.6, 0.75
 GROUP_WORDS = 400_000
 TERM_BLOCK = 512
 MAX_CACHED = 1_000_000
+BLANK = 1
 
 
 def tokens(data: bytes) -> list[bytes]:
@@ -61,7 +64,7 @@ class WordCodes(dict):
 
 @dataclass
 class Benchmark:
-    """Items as codes of their words; code 0 is no word."""
+    """Items as codes of their words; code 0 is a word of no item, code BLANK is punctuation alone."""
 
     ids: list
     items: list[np.ndarray]
@@ -69,16 +72,16 @@ class Benchmark:
 
 
 def read_benchmark(benchmark: DataFrame) -> Benchmark:
-    """Collect (item_id, text), which must be small; null texts and items under MIN_WORDS words are left out."""
+    """Collect (item_id, text), which must be small; null texts and items without a word are left out."""
     n, size = benchmark.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     if n > MAX_ITEMS or size > MAX_ITEM_BYTES:
         raise ValueError(f"at most {MAX_ITEMS} items of {MAX_ITEM_BYTES} bytes in all")
     rows = benchmark.select("item_id", F.col("text").cast("binary").alias("text")).where("text is not null").collect()
-    vocabulary: dict[bytes, int] = {}
+    vocabulary: dict[bytes, int] = {b"": BLANK}
     ids, items = [], []
     for row in sorted(rows, key=lambda x: (x.item_id is None, x.item_id, bytes(x.text))):
         words = [w for w in tokens(bytes(row.text)) if w]
-        if len(words) >= MIN_WORDS:
+        if words:
             ids.append(row.item_id)
             items.append(np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words], np.int32))
     return Benchmark(ids, items, vocabulary)
@@ -145,7 +148,7 @@ def term_weights(coded: DataFrame, terms: int) -> np.ndarray:
         counts[row.term] = row.n
     weights = np.log((counts[0] + 1) / (counts + 1))
     weights[counts > MAX_SHARE * counts[0]] = 0
-    weights[0] = 0
+    weights[[0, BLANK]] = 0
     return weights.astype(np.float32)
 
 
@@ -237,6 +240,34 @@ def spans_of(lengths: list[int]) -> list[int]:
     return sizes
 
 
+def needs_all_windows(item: np.ndarray, weights: np.ndarray) -> bool:
+    """Whether a leak of the item may be left with too few weighted words for a direction."""
+    changed = len(item) - int(np.ceil(WEAK * len(item)))
+    return np.count_nonzero(weights[item]) - changed < MIN_TERMS
+
+
+def whole_runs(runs: dict[int, dict[bytes, list[int]]], terms: int):
+    """Finds each item of `runs` (by length, then by codes) as a run of words, punctuation between them aside."""
+    heads = {n: np.zeros(terms, bool) for n in runs}
+    for n, own in runs.items():
+        heads[n][[np.frombuffer(x, "<i4")[0] for x in own]] = True
+
+    def find(codes: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        place = np.flatnonzero(codes != BLANK)
+        words, doc = codes[place], np.repeat(np.arange(len(lengths)), lengths)[place]
+        for n, own in runs.items():
+            at = np.flatnonzero(heads[n][words[: max(0, len(words) - n + 1)]])
+            at = at[doc[at] == doc[at + n - 1]]
+            for part in range(0, len(at), 65_536):
+                some = at[part : part + 65_536]
+                data = words[some[:, None] + np.arange(n)].astype("<i4").tobytes()
+                for k, first in enumerate(some.tolist()):
+                    for item in own.get(data[4 * n * k : 4 * n * (k + 1)], ()):
+                        yield int(doc[first]), item, int(place[first]), int(place[first + n - 1]) + 1
+
+    return find
+
+
 def _searcher(shared, kind: str):
     names = ["doc_id", "item", "common", "answer", "cosine", "start", "end"]
     kinds = [pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
@@ -244,12 +275,18 @@ def _searcher(shared, kind: str):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, axes, items = shared.value
         vectors = np.zeros((len(items), axes.shape[1]), np.float32)
+        short: dict[int, dict[bytes, list[int]]] = {}
         for i, item in enumerate(items):
-            if np.count_nonzero(weights[item]) >= MIN_TERMS:
+            if len(item) < MIN_WORDS:
+                short.setdefault(len(item), {}).setdefault(item.astype("<i4").tobytes(), []).append(i)
+            elif np.count_nonzero(weights[item]) >= MIN_TERMS:
                 own = weights[item] @ axes[item]
                 vectors[i] = own / (np.linalg.norm(own) or 1)
         sizes = spans_of([len(x) for x in items])
         size_of = np.searchsorted(sizes, [len(x) for x in items])
+        long = np.array([len(x) >= MIN_WORDS for x in items], bool)
+        everywhere = np.array([len(x) >= MIN_WORDS and needs_all_windows(x, weights) for x in items], bool)
+        short_runs = whole_runs(short, len(weights))
         masks = [lcs_masks(x) for x in items]
         words_of = [frozenset(x.tolist()) for x in items]
         # A subsequence has at most the distinct words in common and all of the item's repeats.
@@ -263,15 +300,45 @@ def _searcher(shared, kind: str):
             sums = np.zeros((len(at) + 1, axes.shape[1]))
             np.cumsum(axes[codes[at]] * own[at][:, None], axis=0, out=sums[1:])
             best: dict[tuple[int, int], tuple] = {}
+
+            def compare(d: int, item: int, cosine: float | None, start: int, end: int, size: int) -> None:
+                known = best.get((d, item))
+                if known and known[0] == 1.0:
+                    return
+                low, high = ends[d] - lengths[d], ends[d]
+                region = codes[max(low, start - size // 2) : min(high, end + size // 2)].tolist()
+                if len(words_of[item].intersection(region)) < needed[item]:
+                    return
+                common = lcs(masks[item], len(items[item]), region) / len(items[item])
+                if common < WEAK or (known and known[0] >= common):
+                    return
+                answer = lcs(tail_masks[item], len(tails[item]), region) / len(tails[item])
+                if common >= STRONG or answer >= ANSWER:
+                    best[d, item] = (common, answer, cosine, int(start - low), int(end - low))
+
+            for d, item, start, end in short_runs(codes, lengths):
+                low = ends[d] - lengths[d]
+                best.setdefault((d, item), (1.0, 1.0, None, int(start - low), int(end - low)))
             for k, size in enumerate(sizes):
-                wanted = np.flatnonzero(size_of == k)
-                if not len(wanted):
+                wanted = np.flatnonzero((size_of == k) & long & ~everywhere)
+                others = np.flatnonzero((size_of == k) & everywhere)
+                if not len(wanted) and not len(others):
                     continue
                 counts = np.where(lengths > 0, np.maximum(0, -(-(lengths - size) // (size // 4))) + 1, 0)
                 doc = np.repeat(np.arange(len(lengths)), counts)
                 step = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
                 start = ends[doc] - lengths[doc] + step * (size // 4)
                 end = np.minimum(start + size, ends[doc])
+                if len(others):
+                    low, high = np.maximum(ends[doc] - lengths[doc], start - size // 2), np.minimum(ends[doc], end + size // 2)
+                for item in others.tolist():
+                    member = np.zeros(len(weights), bool)
+                    member[items[item]] = True
+                    held = np.concatenate([[0], np.cumsum(member[codes], dtype=np.int32)])
+                    for row in np.flatnonzero(held[high] - held[low] >= WEAK * len(items[item])).tolist():
+                        compare(int(doc[row]), item, None, int(start[row]), int(end[row]), size)
+                if not len(wanted):
+                    continue
                 a, b = np.searchsorted(at, start), np.searchsorted(at, end)
                 full = b - a >= MIN_TERMS
                 doc, start, end, a, b = (x[full] for x in (doc, start, end, a, b))
@@ -281,22 +348,8 @@ def _searcher(shared, kind: str):
                     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
                     cosines = latent @ vectors[wanted].T
                     for w, i in zip(*(x.tolist() for x in np.nonzero(cosines >= COSINE)), strict=True):
-                        item, cosine = int(wanted[i]), float(cosines[w, i])
                         row = part + w
-                        d = int(doc[row])
-                        known = best.get((d, item))
-                        if known and known[0] == 1.0:
-                            continue
-                        low, high = ends[d] - lengths[d], ends[d]
-                        region = codes[max(low, start[row] - size // 2) : min(high, end[row] + size // 2)].tolist()
-                        if len(words_of[item].intersection(region)) < needed[item]:
-                            continue
-                        common = lcs(masks[item], len(items[item]), region) / len(items[item])
-                        if common < WEAK or (known and known[0] >= common):
-                            continue
-                        answer = lcs(tail_masks[item], len(tails[item]), region) / len(tails[item])
-                        if common >= STRONG or answer >= ANSWER:
-                            best[d, item] = (common, answer, cosine, int(start[row] - low), int(end[row] - low))
+                        compare(int(doc[row]), int(wanted[i]), float(cosines[w, i]), start[row], end[row], size)
             rows = [(ids[d], i, *found) for (d, i), found in sorted(best.items())]
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
             first = pa.array(columns[0]) if any(x is not None for x in columns[0]) else pa.nulls(len(rows), pa.int64())
@@ -311,8 +364,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     `docs` (doc_id, text), `benchmark` (item_id, text). Returns a row for each document and item found: doc_id,
     item_id, common (share of the item's words in the longest common subsequence), answer (the same for its end),
-    cosine, start and end (words of the window). Null and empty texts hold nothing; items under MIN_WORDS words or
-    without MIN_TERMS weighted words are not searched for; repeated rows and repeated items are each reported; other
+    cosine, start and end (words of the window). Null and empty texts hold nothing; items under MIN_WORDS words must
+    stand as a whole run (one word is a run too); cosine is null for these and for items that are compared with all
+    windows, whose leaks may keep fewer than MIN_TERMS weighted words; repeated rows and repeated items are each reported; other
     columns are ignored; an empty table gives none.
     """
     spark = docs.sparkSession

@@ -250,3 +250,30 @@ def test_paraphrases_in_mixed_windows(spark):
     found = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, bench).collect()}
     assert len(wanted) == 90 and found <= wanted
     assert len(found) >= 0.95 * len(wanted), len(found)
+
+
+def test_leaks_that_stand_nearly_everywhere(spark):
+    rng = random.Random(12)
+    items = [prose(rng, rng.randint(8, 40)) for _ in range(6)]
+    texts = []
+    for i in range(90):
+        words = items[i % 3].split()
+        for place in rng.sample(range(len(words)), i % 4):
+            words[place] = prose(rng, 1)
+        texts.append(f"{prose(rng, rng.randint(0, 30))} {' '.join(words)} {prose(rng, rng.randint(0, 30))}")
+    texts[4] += " " + items[4]
+    wanted = leaks_of_all_windows(items, texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, bench).collect()}
+    assert len(wanted) > 80 and (4, 4) in wanted and found == wanted
+
+
+def test_short_items_as_whole_runs(spark):
+    texts = ["x Red - green, BLUE y", "red green", "blue red", "y green blue red green blue", None, "red green", "alone"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    items = [(0, "red green blue"), (1, "Red, green: blue!"), (2, "alone"), (3, "- !"), (4, "y green blue red green blue more")]
+    found = decontaminate.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r.doc_id, r.item_id, r.common, r.start, r.end) for r in found}
+    assert len(found) == len(got)
+    assert got == {(0, 0, 1.0, 1, 5), (0, 1, 1.0, 1, 5), (3, 0, 1.0, 3, 6), (3, 1, 1.0, 3, 6), (6, 2, 1.0, 0, 1)}
