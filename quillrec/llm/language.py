@@ -6,6 +6,7 @@ softmax. It is fitted on a bounded sample of labelled texts and applied to all w
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,12 +14,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBEDDING = 8
 BLOCK = 64  # windows multiplied at once
+BATCH_LANGUAGES = 64  # more languages than this train for more steps
+WINDOWS_PER_TEXT = 16  # random windows of a sampled text
 UNKNOWN = "und"
 
 
@@ -105,8 +109,11 @@ def windows_of(data: bytes) -> np.ndarray:
     return np.frombuffer(data.ljust(n * WINDOW, b"\0"), np.uint8).reshape(n, WINDOW)
 
 
-def train(texts: list[bytes], labels: list[str], steps: int = 600, batch: int = 64, seed: int = 0) -> ByteNetwork:
-    """Fit a network with Adam; windows of short and full length, from places all over each text, some in capitals."""
+def train(texts: list[list[bytes]], labels: list[str], steps: int = 600, batch: int = 64, seed: int = 0) -> ByteNetwork:
+    """Fit a network with Adam; windows of short and full length, from all parts of each text, some in capitals.
+
+    Languages take turns over all steps; more than BATCH_LANGUAGES of them get steps in proportion.
+    """
     rng = np.random.default_rng(seed)
     languages = sorted(set(labels))
     network = ByteNetwork.fresh(languages, rng)
@@ -114,14 +121,16 @@ def train(texts: list[bytes], labels: list[str], steps: int = 600, batch: int =
     usable = [i for i, own in enumerate(by_language) if own]
     if len(usable) < 1:
         return network
+    steps = -(-steps * max(BATCH_LANGUAGES, len(usable)) // BATCH_LANGUAGES)
     first = [np.zeros_like(p) for p in network.parameters()]
     second = [np.zeros_like(p) for p in network.parameters()]
     for step in range(1, steps + 1):
         windows, wanted = np.zeros((batch, WINDOW), np.uint8), np.empty(batch, np.int64)
         for k in range(batch):
-            wanted[k] = usable[k % len(usable)]
+            wanted[k] = usable[((step - 1) * batch + k) % len(usable)]
             own = by_language[wanted[k]]
-            text = own[rng.integers(len(own))]
+            parts = own[rng.integers(len(own))]
+            text = parts[rng.integers(len(parts))]
             size = WINDOW if rng.random() < 0.7 else int(rng.integers(8, WINDOW))
             at = int(rng.integers(max(1, len(text) - size + 1)))
             part = text[at : at + size]
@@ -135,15 +144,35 @@ def train(texts: list[bytes], labels: list[str], steps: int = 600, batch: int =
     return network
 
 
-def sample_texts(labelled: DataFrame, per_language: int) -> tuple[list[bytes], list[str]]:
-    """At most `per_language` texts of each language, the first by a hash of doc_id; ids are chosen before texts move."""
+def sample_texts(labelled: DataFrame, per_language: int) -> tuple[list[list[bytes]], list[str]]:
+    """Windows of at most `per_language` texts of each language, the first by a hash of doc_id; ids are chosen before
+    texts move. Longer texts are cut to WINDOWS_PER_TEXT windows of WINDOW bytes, from random places, where they stand."""
     ids = labelled.where(F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", "lang")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = ids.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_language).drop("_n")
     found = labelled.join(F.broadcast(chosen), ["doc_id", "lang"])  # per_language rows a language
-    rows = found.select("doc_id", "lang", F.col("text").cast("binary").alias("text")).dropDuplicates(["doc_id", "lang"])
+    rows = found.select("doc_id", "lang", F.col("text").cast("binary").alias("text"))
+    schema = rows.select("doc_id", "lang").schema.add("parts", ArrayType(BinaryType()))
+    rows = rows.mapInArrow(_some_windows(schema.names), schema).dropDuplicates(["doc_id", "lang"])
     rows = sorted(rows.collect(), key=lambda x: (x.doc_id, x.lang))
-    return [bytes(x.text) for x in rows], [x.lang for x in rows]
+    return [[bytes(part) for part in x.parts] for x in rows], [x.lang for x in rows]
+
+
+def _some_windows(names: list[str]):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [random_windows(x) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(parts, pa.list_(pa.binary()))], names)
+
+    return cut
+
+
+def random_windows(data: bytes) -> list[bytes]:
+    """A text of up to WINDOWS_PER_TEXT windows as it is, else that many windows from places drawn by its bytes."""
+    if len(data) <= WINDOWS_PER_TEXT * WINDOW:
+        return [data]
+    places = np.random.default_rng(zlib.crc32(data)).integers(len(data) - WINDOW + 1, size=WINDOWS_PER_TEXT)
+    return [data[at : at + WINDOW] for at in places.tolist()]
 
 
 def fit(labelled: DataFrame, per_language: int = 300, steps: int = 600) -> ByteNetwork:

@@ -277,3 +277,24 @@ def test_short_items_as_whole_runs(spark):
     got = {(r.doc_id, r.item_id, r.common, r.start, r.end) for r in found}
     assert len(found) == len(got)
     assert got == {(0, 0, 1.0, 1, 5), (0, 1, 1.0, 1, 5), (3, 0, 1.0, 3, 6), (3, 1, 1.0, 3, 6), (6, 2, 1.0, 0, 1)}
+
+
+def test_more_languages_than_a_batch(monkeypatch):
+    rng = random.Random(3)
+    names = [f"l{i:03}" for i in range(70)]
+    seen = set()
+
+    def gradients(self, windows, wanted):
+        seen.update(wanted.tolist())
+        return [np.zeros_like(p) for p in self.parameters()]
+
+    monkeypatch.setattr(language.ByteNetwork, "gradients", gradients)
+    language.train([[prose(rng, 20).encode()] for _ in names], names, steps=2)
+    assert seen == set(range(70))
+
+
+def test_long_texts_are_sampled_in_windows(spark):
+    rows = [(1, "ab " * 500_000, "xx"), (2, "short one", "yy"), (3, "é" * 3000, "yy")]
+    texts, labels = language.sample_texts(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 5)
+    assert sum(len(part) for parts in texts for part in parts) <= 3 * language.WINDOWS_PER_TEXT * language.WINDOW
+    assert [b"short one"] in texts and set(labels) == {"xx", "yy"} and len(labels) == len(texts)
