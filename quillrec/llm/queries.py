@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrec.llm import decontaminate, fingerprint, language, ngram_join, packing, quality, shards, substring, suffixes, tokens, urls
+from quillrec.llm import (
+    byte_bpe, decontaminate, fingerprint, language, ngram_join, packing, quality, shards, substring, suffixes, tokens, urls,
+)
 
 TOKEN_LIMIT = 4096
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -204,3 +206,17 @@ def op10_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)
     outcomes = table(spark, folder, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
     return urls.filter_urls(table(spark, folder, "pages"), outcomes, URL_RULES)
+
+
+@query("op11_byte_bpe")
+def op11_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = tokenizer("byte_bpe_50k.tiktoken")
+    encoded = byte_bpe.encode(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN, "doc_id")
+    decoded = byte_bpe.decode(encoded, ranks)
+    return decoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"),
+    )
