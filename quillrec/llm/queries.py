@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillrec.llm import (
-    byte_bpe, decontaminate, fingerprint, language, ngram_join, packing, quality, shards, substring, suffixes, tokens, urls,
+    byte_bpe, decontaminate, fingerprint, language, lexical, merkle, ngram_join, packing, quality, shards, substring, suffixes, tokens, urls,
 )
 
 TOKEN_LIMIT = 4096
@@ -220,3 +220,101 @@ def op11_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("bytes", 256).alias("decoded_sha256"),
     )
+
+
+RANKED_SQL = r"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM documents),
+counts AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+sizes AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM counts GROUP BY doc_id),
+total AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM sizes),
+asked AS (
+  SELECT item_id, term, count(*) AS times
+  FROM (SELECT item_id, unnest(regexp_extract_all(
+                 translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                 '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+  GROUP BY ALL),
+holders AS (SELECT term, count(*) AS df FROM counts WHERE term IN (SELECT term FROM asked) GROUP BY term),
+weights AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM holders, total),
+scores AS (
+  SELECT item_id, doc_id,
+         sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms))))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN counts USING (term) JOIN sizes USING (doc_id), total
+  GROUP BY item_id, doc_id)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
+FROM scores WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 20
+"""
+
+
+@query("op12_ranked_search", RANKED_SQL)
+def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.rank_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+MANIFEST_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT doc_id,
+         xor(4294967295, list_reduce(
+           flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+                                  lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+           lambda acc, x: CASE WHEN x >= 0 THEN xor(acc, x) WHEN acc % 2 = 1 THEN xor(acc >> 1, 3988292384) ELSE acc >> 1 END,
+           4294967295)) % 7 = 0 AS touched
+  FROM documents),
+parts AS (
+  SELECT doc_id, lang, coalesce(touched, false) AS touched, n_chars,
+         coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+           || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+         coalesce(strlen(text) || ':' || text, '-') AS tail
+  FROM documents LEFT JOIN crc USING (doc_id)),
+leaves AS (
+  SELECT doc_id, dense_rank() OVER (ORDER BY lang NULLS FIRST) AS tree,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n,
+         sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+         sha256(head || coalesce(strlen((n_chars + touched::BIGINT)::VARCHAR) || ':' || (n_chars + touched::BIGINT), '-') || tail) AS later
+  FROM parts),
+nodes(tree, level, idx, n, digest) AS (
+  SELECT tree, 0, idx, n, leaf FROM leaves
+  UNION ALL
+  SELECT tree, level + 1, idx // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY idx))
+  FROM nodes WHERE n > 1 GROUP BY tree, level, n, idx // 2),
+subroots AS (SELECT tree, digest FROM nodes WHERE n = 1),
+tops(level, idx, n, digest) AS (
+  SELECT 0, row_number() OVER (ORDER BY tree) - 1, count(*) OVER (), digest FROM subroots
+  UNION ALL
+  SELECT level + 1, idx // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY idx)) FROM tops WHERE n > 1
+  GROUP BY level, n, idx // 2),
+both_trees AS (
+  SELECT tree, level, idx, n, digest FROM nodes UNION ALL SELECT 0, level, idx, n, digest FROM tops),
+sides AS (
+  SELECT a.tree, a.level, a.idx, a.n, coalesce(b.digest, '') AS other
+  FROM both_trees a LEFT JOIN both_trees b ON b.tree = a.tree AND b.level = a.level AND b.idx = xor(a.idx, 1)),
+walk(doc_id, part, tree, level, idx, digest, proof) AS (
+  SELECT doc_id, tree, tree, 0, idx, later, '' FROM leaves
+  UNION ALL
+  SELECT w.doc_id, w.part,
+         CASE WHEN s.n > 1 THEN w.tree ELSE 0 END, CASE WHEN s.n > 1 THEN w.level + 1 ELSE 0 END,
+         CASE WHEN s.n > 1 THEN w.idx // 2 ELSE w.part - 1 END,
+         CASE WHEN s.n = 1 THEN w.digest WHEN w.idx % 2 = 0 THEN sha256(w.digest || s.other) ELSE sha256(s.other || w.digest) END,
+         CASE WHEN s.n > 1 THEN w.proof || s.other ELSE w.proof END
+  FROM walk w JOIN sides s ON s.tree = w.tree AND s.level = w.level AND s.idx = w.idx
+  WHERE s.n > 1 OR w.tree > 0),
+ends AS (
+  SELECT w.doc_id, w.digest, w.proof FROM walk w JOIN tops t ON w.tree = 0 AND w.level = t.level AND w.idx = t.idx WHERE t.n = 1)
+SELECT l.doc_id, l.leaf, s.digest AS subroot, t.digest AS root, sha256(e.proof) AS proof_sha256, e.digest AS folded_root,
+       e.digest = t.digest AS verified
+FROM leaves l JOIN subroots s USING (tree) JOIN ends e USING (doc_id), (SELECT digest FROM tops WHERE n = 1) t
+"""
+
+
+@query("op13_merkle_manifest", MANIFEST_SQL)
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    fields = [F.col(x) for x in ("doc_id", "source", "lang", "n_chars", "text")]
+    touched = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False))
+    later = [*fields[:3], fields[3] + touched.cast("long"), fields[4]]
+    return merkle.verified_rows(
+        table(spark, folder, "documents"), "lang", "doc_id", merkle.digest_of(fields), merkle.digest_of(later)
+    )
