@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-GROUP_CHARS = 4_000_000
-GROUP_TOKENS = 1_000_000
-HELD = 400_000  # words in each half of what a Python worker remembers
+GROUP_CHARS = 2_000_000
+GROUP_TOKENS = 400_000
+HELD = 250_000  # words in each half of what a Python worker remembers
 HELD_CHARS = 64
 LONG = 64  # bytes; longer words are contracted at several places in one step
 OTHER, LETTER, NUMBER = "", "é", "²"  # stand for characters whose class the two engines see differently
@@ -135,21 +135,19 @@ GROUP BY doc
 """
 
 
-class Codec:
-    """The queries over one rank file, in a DuckDB database in memory."""
+class Decoder:
+    """A vocabulary in a DuckDB database in memory."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         import duckdb
 
-        self.ranks, self.new, self.old = ranks, {}, {}
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "600MB"})
-        vocabulary = pa.table(
-            {"hex": [x.hex().upper() for x in ranks], "id": pa.array(ranks.values(), pa.int32())}
-        )
-        for name, rows in (("vocabulary", vocabulary), ("merges", merge_table(ranks))):
-            self.db.register("given", rows)
-            self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
-            self.db.unregister("given")
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
+        self._keep("vocabulary", pa.table({"hex": [x.hex().upper() for x in ranks], "id": pa.array(ranks.values(), pa.int32())}))
+
+    def _keep(self, name: str, rows: pa.Table) -> None:
+        self.db.register("given", rows)
+        self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
+        self.db.unregister("given")
 
     def _ask(self, name: str, rows: pa.Table, query: str) -> pa.Table:
         self.db.register(name, rows)
@@ -157,6 +155,27 @@ class Codec:
         self.db.unregister(name)
         return found
 
+    def decode(self, lists: pa.ListArray) -> list[bytes | None]:
+        """Bytes of each list of ids; a null or empty list has none."""
+        import pyarrow.compute as pc
+
+        ids = lists.flatten()
+        given = pa.table({"doc": pc.list_parent_indices(lists), "place": np.arange(len(ids)), "id": ids})
+        found = self._ask("tokens", given, DECODE)
+        texts: list[bytes | None] = [b""] * len(lists)
+        for doc, data in zip(found.column("doc").to_pylist(), found.column("hex").to_pylist(), strict=True):
+            texts[doc] = None if data is None else bytes.fromhex(data)
+        return texts
+
+
+class Encoder(Decoder):
+    """A vocabulary with its merge table, and the words encoded so far."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        super().__init__(ranks)
+        self.ranks, self.new, self.old = ranks, {}, {}
+        self._keep("merges", merge_table(ranks))
+
     def encode(self, words: list[bytes]) -> list[bytes]:
         """Little-endian ids of each word. A word that is a token is that token, whatever the merges say."""
         codes = [self.ranks.get(x) for x in words]
@@ -177,7 +196,7 @@ class Codec:
         return [x or b"" for x in codes]
 
     def codes(self, groups: list[list[str]]) -> list[bytes]:
-        """Little-endian ids of each list of words. Words are remembered; the longer unused half is dropped when full."""
+        """Little-endian ids of each list of words. Words are remembered; those not used of late are dropped."""
         used = {x: self.new.get(x) or self.old.get(x) for x in {x for own in groups for x in own}}
         unknown = [word for word, code in used.items() if code is None]
         used.update(zip(unknown, self.encode([x.encode() for x in unknown]), strict=True))
@@ -186,18 +205,6 @@ class Codec:
         self.new.update((word, code) for word, code in used.items() if len(word) <= HELD_CHARS)
         return [b"".join(map(used.__getitem__, own)) for own in groups]
 
-    def decode(self, lists: pa.ListArray) -> list[bytes | None]:
-        """Bytes of each list of ids; a null or empty list has none."""
-        import pyarrow.compute as pc
-
-        ids = lists.flatten()
-        given = pa.table({"doc": pc.list_parent_indices(lists), "place": np.arange(len(ids)), "id": ids})
-        found = self._ask("tokens", given, DECODE)
-        texts: list[bytes | None] = [b""] * len(lists)
-        for doc, data in zip(found.column("doc").to_pylist(), found.column("hex").to_pylist(), strict=True):
-            texts[doc] = None if data is None else bytes.fromhex(data)
-        return texts
-
 
 class Words:
     """Cuts texts into the matches of a pattern, with tiktoken's letters and numbers.
@@ -239,9 +246,14 @@ class Words:
 
 
 @cache
-def codec(path: str) -> Codec:
-    """One database for each rank file and Python worker."""
-    return Codec(read_ranks(path))
+def encoder(path: str) -> Encoder:
+    """One for each rank file and Python worker."""
+    return Encoder(read_ranks(path))
+
+
+@cache
+def decoder(path: str) -> Decoder:
+    return Decoder(read_ranks(path))
 
 
 @cache
@@ -251,7 +263,7 @@ def cutter(pattern: str) -> Words:
 
 def _encoder(path: str, pattern: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        books, words = codec(path), cutter(pattern)
+        books, words = encoder(path), cutter(pattern)
         for batch in batches:
             codes, group, chars = [], [], 0
             for text in batch.column(batch.num_columns - 1).to_pylist():
@@ -286,7 +298,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, *keep: str) -> DataFra
 
 def _decoder(path: str):
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        books = codec(path)
+        books = decoder(path)
         for batch in batches:
             lists = batch.column(batch.num_columns - 1)
             sizes, texts, first, count = lists.value_lengths().to_pylist(), [], 0, 0
