@@ -180,7 +180,7 @@ class Bounds:
             for term, times in own.items():
                 holders[term].append((i, times))
         self.terms = [
-            (hashes[t], np.array([i for i, _ in own]), np.array([queries.weights[t] * n for _, n in own], np.int64))
+            (hashes[t], np.array([i for i, _ in own], np.int64), np.array([queries.weights[t] * n for _, n in own], np.int64))
             for t, own in enumerate(holders)
             if queries.weights[t]
         ]
