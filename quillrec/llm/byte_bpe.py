@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-GROUP_CHARS = 2_000_000
+GROUP_CHARS = 3_000_000
 GROUP_TOKENS = 400_000
-HELD = 250_000  # words in each half of what a Python worker remembers
+HELD = 400_000  # words in each half of what a Python worker remembers
 HELD_CHARS = 64
 LONG = 64  # bytes; longer words are contracted at several places in one step
 OTHER, LETTER, NUMBER = "", "é", "²"  # stand for characters whose class the two engines see differently
@@ -70,7 +70,7 @@ def merge_table(ranks: dict[bytes, int]) -> pa.Table:
 # number takes the merged token and the row that begins at that byte goes.
 ENCODE = """
 WITH RECURSIVE steps(key, token, size, done) AS (
-  {symbols}
+  SELECT key, token, 1::BIGINT, false FROM symbols
   UNION ALL
   (WITH live AS MATERIALIZED (SELECT key, token, size FROM steps WHERE NOT done),
    pairs AS MATERIALIZED (
@@ -82,14 +82,14 @@ WITH RECURSIVE steps(key, token, size, done) AS (
           CASE WHEN p.pair = b.pair THEN p.size + p.more ELSE p.size END, b.pair IS NULL
    FROM pairs p JOIN best b ON b.word = p.word
    WHERE b.pair IS NULL OR (p.key & 4294967295) <> (b.pair & 4294967295)))
-{result}
+SELECT key, token FROM steps WHERE done ORDER BY key
 """
 
 # The same for long words, with fewer steps: all places of the least merge are taken where that cannot matter, else the
 # first. Of places that overlap, every second is taken.
 ENCODE_LONG = """
 WITH RECURSIVE steps(key, token, size, done) AS (
-  {symbols}
+  SELECT key, token, 1::BIGINT, false FROM symbols
   UNION ALL
   (WITH live AS MATERIALIZED (SELECT key, token, size FROM steps WHERE NOT done),
    pairs AS MATERIALIZED (
@@ -116,16 +116,9 @@ WITH RECURSIVE steps(key, token, size, done) AS (
           CASE WHEN t.key IS NULL THEN p.size ELSE p.size + p.more END, b.merged IS NULL
    FROM pairs p JOIN best b ON b.word = p.word LEFT JOIN taken t ON t.key = p.key
    WHERE NOT EXISTS (FROM gone g WHERE g.key = p.key)))
-{result}
+SELECT key, token FROM steps WHERE done ORDER BY key
 """
 
-SYMBOLS = """
-  SELECT (word << 32) + place, v.id::BIGINT, 1::BIGINT, false
-  FROM (SELECT word, unnest(generate_series(0, octet_length(bytes) - 1)) AS place, hex(bytes) AS h FROM words)
-  JOIN vocabulary v ON v.hex = h[2 * place + 1 : 2 * place + 2]
-"""
-RESULT = "SELECT key >> 32 AS word, list(token::INTEGER ORDER BY key) AS ids FROM steps WHERE done GROUP BY ALL ORDER BY word"
-
 # The database has one thread, so rows reach the aggregate in the order of the subquery. A list with an id that no
 # token has is null.
 DECODE = """
@@ -174,6 +167,7 @@ class Encoder(Decoder):
     def __init__(self, ranks: dict[bytes, int]) -> None:
         super().__init__(ranks)
         self.ranks, self.new, self.old = ranks, {}, {}
+        self.single = np.array([ranks.get(bytes([x]), -1) for x in range(256)], np.int64)  # tokens of one byte
         self._keep("merges", merge_table(ranks))
 
     def encode(self, words: list[bytes]) -> list[bytes]:
@@ -187,12 +181,16 @@ class Encoder(Decoder):
         ):
             if not chosen:
                 continue
-            given = pa.table({"word": pa.array(chosen, pa.int64()), "bytes": [words[i] for i in chosen]})
-            found = self._ask("words", given, query.format(symbols=SYMBOLS, result=RESULT))
-            ids = found.column("ids").combine_chunks()
-            values, edges = ids.values.to_numpy().astype("<i4").tobytes(), ids.offsets.to_pylist()
-            for word, a, b in zip(found.column("word").to_pylist(), edges, edges[1:], strict=False):
-                codes[word] = values[4 * a : 4 * b]
+            data = np.frombuffer(b"".join(words[i] for i in chosen), np.uint8)
+            sizes = np.array([len(words[i]) for i in chosen])
+            place = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            key = (np.repeat(np.arange(len(chosen)), sizes) << 32) + place
+            found = self._ask("symbols", pa.table({"key": key, "token": self.single[data]}), query)
+            ids = found.column("token").to_numpy().astype("<i4").tobytes()
+            counts = np.bincount(found.column("key").to_numpy() >> 32, minlength=len(chosen))
+            ends = 4 * np.cumsum(counts)
+            for i, b, n in zip(chosen, ends.tolist(), counts.tolist(), strict=True):
+                codes[i] = ids[b - 4 * n : b]
         return [x or b"" for x in codes]
 
     def codes(self, groups: list[list[str]]) -> list[bytes]:
