@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-GROUP_CHARS = 3_000_000
+GROUP_CHARS = 2_000_000
 GROUP_TOKENS = 400_000
-HELD = 400_000  # words in each half of what a Python worker remembers
+HELD = 300_000  # words in each half of what a Python worker remembers
 HELD_CHARS = 64
 LONG = 64  # bytes; longer words are contracted at several places in one step
 OTHER, LETTER, NUMBER = "", "é", "²"  # stand for characters whose class the two engines see differently

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillrec.llm import (
     byte_bpe, decontaminate, fingerprint, language, lexical, merkle, ngram_join, packing, quality, shards, substring, suffixes, tokens, urls,
 )
+from quillrec.session import stage
 
 TOKEN_LIMIT = 4096
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -213,7 +214,8 @@ def op11_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
     ranks = tokenizer("byte_bpe_50k.tiktoken")
-    encoded = byte_bpe.encode(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN, "doc_id")
+    # Ids are written before they are read again, so no executor runs encoders and decoders at once.
+    encoded = stage(byte_bpe.encode(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN, "doc_id"))
     decoded = byte_bpe.decode(encoded, ranks)
     return decoded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
