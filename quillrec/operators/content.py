@@ -2,25 +2,17 @@
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillrec.functions import text as tx
 from quillrec.functions.scores import min_max
-from quillrec.operators.nearest import best_of_block
+from quillrec.operators.cells import best_items, build_index
+from quillrec.operators.nearest import k_with_excluded, unseen
+from quillrec.operators.skew import salted_join
 from quillrec.operators.topk import top_k, top_n
 from quillrec.session import stage
 
-MAX_TERMS = 20_000
-POOL = 20_000
-EXTRA = 300
-BLOCK_ITEMS = 2048  # items of one packed row: one top-k per block is shuffled
-DENSE_ITEMS = 512  # items made dense at a time within a block
-BLOCK_USERS = 128
 DIGITS = 6
 
 
@@ -30,93 +22,34 @@ def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, terms.alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def vocabulary(counts: DataFrame, n_docs, max_terms: int = MAX_TERMS) -> DataFrame:
-    """(term, term_id, idf) of the most frequent terms; idf = ln((1 + n) / (1 + df)) + 1."""
+def vocabulary(counts: DataFrame, n_docs, max_terms: int | None = None) -> DataFrame:
+    """(term, term_id, idf) of all terms, or of the `max_terms` most frequent; idf = ln((1 + n) / (1 + df)) + 1.
+
+    Terms are numbered, so no two share a number.
+    """
     totals = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
-    kept = top_n(totals, [F.desc("total"), F.asc("term")], max_terms)
+    kept = totals if max_terms is None else top_n(totals, [F.desc("total"), F.asc("term")], max_terms)
     idf = F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1
-    return kept.select("term", F.xxhash64("term").alias("term_id"), idf.alias("idf"))
+    return kept.select("term", F.monotonically_increasing_id().alias("term_id"), idf.alias("idf"))
 
 
 def weighted(counts: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
-    """(key, term_ids, weights): unit-length TF-IDF vector per key, packed (at most MAX_TERMS terms)."""
-    rows = counts.join(F.broadcast(vocab), "term").select(key, "term_id", (F.col("tf") * F.col("idf")).alias("w"))
+    """(key, terms, weights): unit-length TF-IDF vector per key; terms of the vocabulary only."""
+    rows = salted_join(counts, vocab, "term").select(key, "term_id", (F.col("tf") * F.col("idf")).alias("w"))
     packed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("term_id", "w"))).alias("m"))
     length = F.sqrt(F.aggregate("m", F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"]))
     return packed.select(
         key,
-        F.transform("m", lambda x: x["term_id"]).alias("term_ids"),
+        F.transform("m", lambda x: x["term_id"]).alias("terms"),
         F.transform("m", lambda x: x["w"] / length).alias("weights"),
     )
 
 
-def _packs(df: DataFrame, key: str, chunk, prefix: str) -> DataFrame:
-    members = F.collect_list(F.struct(F.col(key).alias("id"), "term_ids", "weights"))
-    grouped = df.groupBy(chunk.alias(f"{prefix}_chunk")).agg(members.alias("m"))
-    return grouped.select(
-        f"{prefix}_chunk",
-        F.transform("m", lambda x: x["id"]).alias(f"{prefix}_ids"),
-        F.transform("m", lambda x: F.size(x["term_ids"])).alias(f"{prefix}_sizes"),
-        F.flatten(F.transform("m", lambda x: x["term_ids"])).alias(f"{prefix}_terms"),
-        F.flatten(F.transform("m", lambda x: x["weights"])).alias(f"{prefix}_weights"),
-    )
-
-
-def top_products(users: DataFrame, pool: DataFrame, k: int, n_users: int, n_pool: int) -> DataFrame:
-    """(user_id, item_id, score > 0): k best pool items per user by sparse inner product.
-
-    Users and pool are packed into blocks; a block pair is one small dense product over the
-    terms of the pool block. Pool blocks (a bounded number) are replicated per salt, so users
-    are shuffled once and no term is a join key.
-    """
-    salts = int(users.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    u_chunk = F.pmod(F.xxhash64("user_id"), F.lit(max(math.ceil(n_users / BLOCK_USERS), 1)))
-    i_chunk = F.pmod(F.xxhash64("item_id"), F.lit(max(math.ceil(n_pool / BLOCK_ITEMS), 1)))
-    asked = _packs(users, "user_id", u_chunk, "u").withColumn("salt", F.pmod("u_chunk", F.lit(salts)).cast("int"))
-    blocks = _packs(pool, "item_id", i_chunk, "i").withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    )
-
-    def score(batches):
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                ids, sizes = np.asarray(row.i_ids), np.asarray(row.i_sizes)
-                ends = np.concatenate([[0], np.cumsum(sizes)])
-                u_terms, u_weights = np.asarray(row.u_terms), np.asarray(row.u_weights)
-                users_at = np.repeat(np.arange(len(row.u_ids)), row.u_sizes)
-                scores = np.zeros((len(row.u_ids), len(ids)))
-                for lo in range(0, len(ids), DENSE_ITEMS):
-                    hi = min(lo + DENSE_ITEMS, len(ids))
-                    part = slice(ends[lo], ends[hi])
-                    terms, columns = np.unique(np.asarray(row.i_terms)[part], return_inverse=True)
-                    if not len(terms):
-                        continue
-                    items = np.zeros((hi - lo, len(terms)))
-                    items[np.repeat(np.arange(hi - lo), sizes[lo:hi]), columns] = np.asarray(row.i_weights)[part]
-                    at = np.minimum(np.searchsorted(terms, u_terms), len(terms) - 1)
-                    known = terms[at] == u_terms
-                    asked_for = np.zeros((len(row.u_ids), len(terms)))
-                    asked_for[users_at[known], at[known]] = u_weights[known]
-                    scores[:, lo:hi] = asked_for @ items.T
-                rows, ids, values = best_of_block(scores, ids, k)
-                positive = values > 0
-                yield pd.DataFrame(
-                    {
-                        "user_id": np.asarray(row.u_ids)[rows][positive],
-                        "item_id": ids[positive],
-                        "score": values[positive],
-                    }
-                )
-
-    pairs = asked.join(blocks, "salt").drop("salt", "u_chunk", "i_chunk")
-    scored = pairs.mapInPandas(score, "user_id long, item_id long, score double")
-    return top_k(scored, ["user_id"], [F.desc("score"), F.asc("item_id")], k).drop("rn")
-
-
-def user_texts(user_profile: DataFrame, item_texts: DataFrame, max_items: int = 20) -> DataFrame:
-    """(user_id, text): favourite genres, then the texts of the user's best items in order."""
-    listed = user_profile.select("user_id", F.posexplode(F.slice("liked_items", 1, max_items)).alias("pos", "item_id"))
-    joined = listed.join(item_texts, "item_id").groupBy("user_id")
+def user_texts(user_profile: DataFrame, item_texts: DataFrame, max_items: int | None = None) -> DataFrame:
+    """(user_id, text): favourite genres, then the texts of the user's best items (or the first `max_items`) in order."""
+    items = F.col("liked_items") if max_items is None else F.slice("liked_items", 1, max_items)
+    listed = user_profile.select("user_id", F.posexplode(items).alias("pos", "item_id"))
+    joined = salted_join(listed, item_texts.select("item_id", "text"), "item_id").groupBy("user_id")
     texts = joined.agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("m"))
     both = user_profile.select("user_id", "favorite_genres").join(texts, "user_id", "left")
     favourite = tx.content_text(F.array_join("favorite_genres", " "))
@@ -130,28 +63,33 @@ def content_recall(
     item_texts: DataFrame,
     seen: DataFrame,
     top_items: int = 50,
-    max_terms: int = MAX_TERMS,
-    pool_size: int = POOL,
-    extra: int = EXTRA,
+    max_terms: int | None = None,
+    pool_size: int | None = None,
+    max_items: int | None = None,
+    work=None,
 ) -> DataFrame:
-    """Unseen pool items whose text is closest to the user's favourite genres and best items."""
+    """Unseen items whose text is closest to the user's favourite genres and best items; lists are filled past what is seen.
+
+    All terms, all items and all best items count. `max_terms` keeps the most frequent terms only, `pool_size` the most
+    popular items, `max_items` the first best items of a user. `work`, an accumulator, counts the products made.
+    """
     counts = stage(term_counts(item_texts, "item_id", "text"))
-    n_docs = item_texts.agg(F.count(F.lit(1))).scalar()
-    vocab = vocabulary(counts, n_docs, max_terms)
-    order = [
-        F.desc(F.round("item_popularity", DIGITS)),
-        F.desc("item_rating_count"),
-        F.desc(F.round("item_avg_rating", DIGITS)),
-        F.asc("item_id"),
-    ]
-    ranked = item_profile.select("item_id", "item_popularity", "item_rating_count", "item_avg_rating")
-    pool_ids = top_n(ranked, order, pool_size).select("item_id")
-    vocab = stage(vocab)
-    pool = stage(weighted(counts.join(pool_ids, "item_id", "left_semi"), vocab, "item_id"))
-    users = stage(weighted(term_counts(user_texts(user_profile, item_texts), "user_id", "text"), vocab, "user_id"))
-    found = top_products(users, pool, top_items + extra, users.count(), pool.count())
-    fresh = found.join(seen, ["user_id", "item_id"], "left_anti")
-    best = top_k(fresh, ["user_id"], [F.desc("score"), F.asc("item_id")], top_items)
+    vocab = stage(vocabulary(counts, item_texts.agg(F.count(F.lit(1))).scalar(), max_terms))
+    if pool_size is not None:
+        order = [
+            F.desc(F.round("item_popularity", DIGITS)),
+            F.desc("item_rating_count"),
+            F.desc(F.round("item_avg_rating", DIGITS)),
+            F.asc("item_id"),
+        ]
+        ranked = item_profile.select("item_id", "item_popularity", "item_rating_count", "item_avg_rating")
+        counts = counts.join(top_n(ranked, order, pool_size).select("item_id"), "item_id", "left_semi")
+    texts = user_texts(user_profile, item_texts, max_items)
+    users = weighted(stage(term_counts(texts, "user_id", "text")), vocab, "user_id")
+    n_seen = seen.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_seen"))
+    wanted = k_with_excluded(top_items, F.coalesce("n_seen", F.lit(0)))
+    queries = users.join(n_seen, "user_id", "left").withColumn("k", wanted).withColumnRenamed("user_id", "query_id")
+    best = unseen(queries, build_index(weighted(counts, vocab, "item_id")), seen, top_items, work)
     return best.select("user_id", "item_id", F.lit("content").alias("channel"), "score")
 
 
@@ -179,7 +117,7 @@ def profile_match(user_profile: DataFrame, item_profile: DataFrame, n: int = 50)
     parts = item_profile.select("item_id", words.alias("w"), rating.alias("r"), fame.alias("f"), image.alias("i"))
     items = parts.select(
         "item_id",
-        F.concat(hashed("w"), F.array(known, unknown)).alias("term_ids"),
+        F.concat(hashed("w"), F.array(known, unknown)).alias("terms"),
         F.concat(
             F.transform("w", lambda _: F.lit(1.0)),
             F.array(
@@ -192,9 +130,8 @@ def profile_match(user_profile: DataFrame, item_profile: DataFrame, n: int = 50)
     size = F.greatest(F.size("t"), F.lit(1))
     users = terms.select(
         "user_id",
-        F.concat(hashed("t"), F.array(F.when(F.size("t") > 0, known).otherwise(unknown))).alias("term_ids"),
+        F.concat(hashed("t"), F.array(F.when(F.size("t") > 0, known).otherwise(unknown))).alias("terms"),
         F.concat(F.transform("t", lambda _: F.lit(0.55) / size), F.array(F.lit(1.0))).alias("weights"),
     )
-    items, users = stage(items), stage(users)
-    found = top_products(users, items, n, users.count(), items.count())
-    return found.select("user_id", "item_id", F.lit("content").alias("channel"), "score")
+    found = best_items(users.withColumnRenamed("user_id", "query_id"), build_index(items), n)
+    return found.select(F.col("query_id").alias("user_id"), "item_id", F.lit("content").alias("channel"), "score")

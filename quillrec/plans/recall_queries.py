@@ -172,7 +172,7 @@ view(
 view(
     "content_vocab",
     """SELECT term, ln((1.0 + (SELECT count(*) FROM items)) / (1.0 + count(*))) + 1 AS idf FROM content_tf WHERE kind = 'i'
-       GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 3000""",
+       GROUP BY term""",
 )
 view(
     "content_w",
@@ -185,19 +185,14 @@ view(
     "rec_content",
     """SELECT user_id, item_id, 'content' AS channel, score FROM (
          SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS place FROM (
-           SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rn FROM (
-             SELECT u.id AS user_id, i.id AS item_id, round(sum(u.w * i.w), 6) AS score
-             FROM content_w u JOIN content_w i ON u.term = i.term AND u.kind = 'u' AND i.kind = 'i'
-             WHERE i.id IN (SELECT item_id FROM item_profile ORDER BY round(item_popularity, 6) DESC, item_rating_count DESC,
-                            round(item_avg_rating, 6) DESC, item_id LIMIT 1500)
-             GROUP BY 1, 2) WHERE score > 0) s
-         WHERE rn <= 350 AND NOT EXISTS (SELECT 1 FROM seen WHERE seen.user_id = s.user_id AND seen.item_id = s.item_id))
+           SELECT u.id AS user_id, i.id AS item_id, round(sum(u.w * i.w), 6) AS score
+           FROM content_w u JOIN content_w i ON u.term = i.term AND u.kind = 'u' AND i.kind = 'i'
+           GROUP BY 1, 2) s
+         WHERE score > 0 AND NOT EXISTS (SELECT 1 FROM seen WHERE seen.user_id = s.user_id AND seen.item_id = s.item_id))
        WHERE place <= 50""",
 )
 def rec_content(d):
-    return content.content_recall(
-        d.user_profile, d.item_profile, d.item_texts, d.seen, 50, max_terms=3000, pool_size=1500
-    )
+    return content.content_recall(d.user_profile, d.item_profile, d.item_texts, d.seen, 50)
 
 
 # --- knowledge bridges -------------------------------------------------------------------------------
