@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from quillrec.session import stage
 
 ROW_BITS = 33  # monotonically_increasing_id keeps the row number of a partition in its low 33 bits
-HISTOGRAM_BUCKETS = 4096
+CHUNK = 32  # cuts of a chunk; CHUNK * CHUNK cuts part the distinct values of a key
+SKETCH_ACCURACY = 20 * CHUNK * CHUNK
+HASH_RANGES = 1 << 16
 
 
 def with_global_rank(df: DataFrame, order: Sequence[Column], rank: str) -> DataFrame:
@@ -37,7 +39,8 @@ def with_global_rank(df: DataFrame, order: Sequence[Column], rank: str) -> DataF
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, points: Sequence[float]) -> DataFrame:
     """Exact linearly interpolated quantiles per key, as (keys, q, quantile) rows.
 
-    Values are counted, bucketed into a histogram per key, and only the buckets that hold a
+    Values are counted. A mergeable quantile sketch of each key's distinct values gives cuts of about equal depth, so no
+    bucket between two cuts holds more than a small part of them, however they are spread; only the buckets that hold a
     wanted rank are ordered. Map-side counting keeps repeated values and hot keys cheap.
     """
     keys = list(keys)
@@ -45,19 +48,23 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, points: Sequence[f
         F.count(F.lit(1)).alias("_c")
     )
     everywhere = F.lit(1).alias("_all")
-    counts = counts.select(everywhere, *keys, "_v", "_c")
+    counts = stage(counts.select(everywhere, *keys, "_v", "_c"))
     keys = ["_all", *keys]
-    spans = counts.groupBy(*keys).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_total")
-    )
-    width = F.col("_hi") - F.col("_lo")
-    scaled = F.when(width > 0, F.floor((F.col("_v") - F.col("_lo")) / width * (HISTOGRAM_BUCKETS - 1))).otherwise(0)
-    bucketed = counts.join(spans, keys).withColumn("_b", scaled.cast("int"))
+    points_cut = F.array(*[F.lit((i + 1) / (CHUNK * CHUNK + 1)) for i in range(CHUNK * CHUNK)])
+    sketch = F.percentile_approx("_v", points_cut, SKETCH_ACCURACY)
+    spans = counts.groupBy(*keys).agg(F.array_sort(F.array_distinct(sketch)).alias("_cuts"), F.sum("_c").alias("_total"))
+    ends = F.filter("_cuts", lambda c, i: i % CHUNK == CHUNK - 1)
+    spans = spans.withColumn("_ends", ends)
+    # Cuts below the value: whole chunks first, then those of the chunk it falls in.
+    whole = F.size(F.filter("_ends", lambda c: c < F.col("_v"))) * CHUNK
+    within = F.size(F.filter(F.slice("_cuts", F.col("_b") + 1, CHUNK), lambda c: c < F.col("_v")))
+    bucketed = counts.join(spans, keys).withColumn("_b", whole).withColumn("_b", F.col("_b") + within)
+    bucketed = bucketed.drop("_cuts", "_ends")
     running = Window.partitionBy(*keys).orderBy("_b")
     histogram = (
         bucketed.groupBy(*keys, "_b")
         .agg(F.sum("_c").alias("_bc"), F.max("_total").alias("_total"))
-        .withColumn("_upto", F.sum("_bc").over(running))  # at most HISTOGRAM_BUCKETS rows per key
+        .withColumn("_upto", F.sum("_bc").over(running))  # at most CHUNK * CHUNK + 1 rows per key
     )
     # The two order statistics around each point, as 1-based ranks.
     wanted = F.array(*[F.lit(float(q)) for q in points])
@@ -86,3 +93,22 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, points: Sequence[f
 def quantile_of(df: DataFrame, value: str, point: float) -> Column:
     """One global quantile as a scalar subquery."""
     return quantiles(df, [], value, [point]).select("quantile").scalar()
+
+
+def lowest_hashes(df: DataFrame, digest: Column, ties: Sequence[Column], n: int) -> DataFrame:
+    """The n rows of lowest hex digest, equal ones by `ties`.
+
+    Rows are counted by ranges of the digest; ranges below the one that holds the n-th row are kept whole, and only the
+    rows of that one, about a HASH_RANGES-th, are ordered. If n is not below the number of rows, nothing is.
+    """
+    ranged = df.withColumn("_range", F.conv(F.substring(digest, 1, 4), 16, 10).cast("int"))
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    sums = counts.withColumn("_upto", upto)  # at most HASH_RANGES rows
+    edge = sums.where(F.col("_upto") > n).orderBy("_range").limit(1).collect()
+    if not edge:
+        return df
+    edge, before = edge[0]._range, edge[0]._upto - edge[0]._n
+    last = with_global_rank(ranged.where(F.col("_range") == edge), [digest, *ties], "_rank")
+    last = last.where(F.col("_rank") <= n - before).drop("_rank")
+    return ranged.where(F.col("_range") < edge).unionByName(last).drop("_range")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillrec.functions import text as tx
 from quillrec.operators import diversify, fuse, hot, ingest, itemcf, nearest, prepare, quality
-from quillrec.operators.ranks import quantiles, with_global_rank
+from quillrec.operators.ranks import lowest_hashes, quantiles, with_global_rank
 from quillrec.operators.topk import supplement, top_k
 
 
@@ -78,6 +78,30 @@ def test_quantiles_match_numpy(spark, q):
     assert got == pytest.approx(np.quantile(values, q))
 
 
+def test_quantiles_of_values_that_crowd_in_a_small_interval(spark):
+    """99 % of the values lie in one of any number of buckets of equal width; a second key has other values."""
+    rng = np.random.default_rng(8)
+    crowded = np.concatenate([1 + rng.random(3960) * 1e-9, 10.0 ** rng.uniform(1, 12, 40)])
+    spread = rng.integers(0, 9, 500).astype(float)
+    rows = [("a", float(v)) for v in crowded] + [("b", float(v)) for v in spread] + [("b", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    points = [0.0, 0.1, 0.5, 0.985, 0.9901, 0.999, 1.0]
+    found = {(r.k, r.q): r.quantile for r in quantiles(df, ["k"], "v", points).collect()}
+    for key, values in (("a", crowded), ("b", spread)):
+        for q in points:
+            assert found[key, q] == pytest.approx(np.quantile(values, q), rel=1e-15)
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 250, 399, 400, 1000])
+def test_lowest_hashes(spark, n):
+    from quillrec.operators.features import seeded_hash
+
+    df = spark.range(400).select((F.col("id") % 390).alias("id"), F.col("id").alias("at")).repartition(3)
+    order = [seeded_hash(1, "id"), F.col("at")]
+    wanted = [r.at for r in df.orderBy(*order).limit(n).collect()]
+    assert sorted(r.at for r in lowest_hashes(df, order[0], order[1:], n).collect()) == sorted(wanted)
+
+
 def test_hot_skips_seen_items_even_for_a_heavy_user(spark):
     stats = spark.createDataFrame([(i, 3.0, 100 - i) for i in range(60)], "item_id long, item_avg_rating double, item_rating_count long")
     seen = spark.createDataFrame([(1, i) for i in range(0, 50, 2)] + [(2, 0)] + [(4, i) for i in range(58)], "user_id long, item_id long")
