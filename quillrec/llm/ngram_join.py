@@ -47,6 +47,8 @@ KEYS = 2  # least hashes whose blocks are searched first
 BLOCK_ROWS = 4_000  # rows of a block in one task; larger blocks are cut
 AT_ONCE = 50_000  # pairs whose bounds are computed at once
 GROUP_WORDS = 1_000_000
+HELD_BYTES = 16_000_000  # of points taken apart at once
+COMPARED = 200  # pairs of texts unpacked at once
 BYTES_PER_PART = 24_000_000
 FREQUENCY_GROUPS = 1 << 22
 MAX_FREQUENT = 200_000
@@ -59,8 +61,8 @@ def shingles(words: np.ndarray, width: int) -> np.ndarray:
 
 
 def fine_groups(n: int) -> int:
-    """Coordinates of the finer point of a document of n shingles: a power of two, about eight shingles each."""
-    return max(GROUPS, 1 << (max(1, n) // 8).bit_length())
+    """Coordinates of the finer point of a document of n shingles: a power of two, one or two shingles each."""
+    return max(GROUPS, 1 << (max(1, n) // 2).bit_length())
 
 
 def _point(hashes: np.ndarray, groups_: int) -> bytes:
@@ -82,12 +84,16 @@ def _points(data: list[bytes]) -> np.ndarray:
 def finer_bounds(i: np.ndarray, j: np.ndarray, fine: list[bytes], sizes: np.ndarray) -> np.ndarray:
     """Most shingles that each pair can share by its finer points; the larger point is folded onto the other."""
     wide: dict[int, np.ndarray] = {}
+    held = 0
 
     def point(k: int) -> np.ndarray:
+        nonlocal held
         if k not in wide:
-            if len(wide) > 20_000:
+            if held > HELD_BYTES:
                 wide.clear()
-            wide[k] = np.frombuffer(fine[k], f"<u{len(fine[k]) // fine_groups(int(sizes[k]))}").astype(np.int64)
+                held = 0
+            wide[k] = np.frombuffer(fine[k], f"<u{len(fine[k]) // fine_groups(int(sizes[k]))}").astype(np.int32)
+            held += wide[k].nbytes
         return wide[k]
 
     out = np.empty(len(i), np.int64)
@@ -327,7 +333,7 @@ def _shared_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def _compare(width: int, threshold: int):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, last_set = None, None
-        for batch in batches:
+        for batch in (x.slice(at, COMPARED) for x in batches for at in range(0, x.num_rows, COMPARED)):
             linked = []
             for (_, b, _, other), words in with_words(batch, 2, lower=True):
                 if last != b:
