@@ -31,7 +31,7 @@ MIN_WORDS = 8  # shorter items are searched for as whole runs only
 MIN_TERMS = 3  # weighted words that a window or item needs for a direction
 COSINE = 0.4
 STRONG, WEAK, ANSWER = 0.75, 0.6, 0.75
-GROUP_WORDS = 400_000
+GROUP_WORDS = 100_000
 TERM_BLOCK = 512
 MAX_CACHED = 1_000_000
 BLANK = 1
