@@ -495,9 +495,51 @@ def evl_grid(d):
     return table.select("first_weight", "second_weight", "source_bonus", "precision", "recall", "ndcg")
 
 
-@query("evl_7_lambda_grid")
+LAMBDAS = (0.5, 0.6, 0.7, 0.8, 0.9)
+
+
+def lambda_lists_sql(value: float) -> str:
+    lists = f"SELECT user_id, {value}::DOUBLE AS gain, 1 - {value}::DOUBLE AS penalty, e FROM mmr_lists"
+    return f"SELECT gain AS lambda_rel, user_id, item_id, place AS pos FROM ({greedy_sql(lists, 10)})"
+
+
+view("lambda_all", " UNION ALL ".join(map(lambda_lists_sql, LAMBDAS)))
+view("lambda_lists", "SELECT * FROM lambda_all WHERE user_id IN (SELECT user_id FROM relevant)")
+view(
+    "lambda_user",
+    """SELECT lambda_rel, l.user_id, count(r.item_id) AS hits, coalesce(sum(1 / log2(pos + 1)) FILTER (r.item_id IS NOT NULL), 0) AS dcg,
+              max(n_rel) AS n_rel
+       FROM lambda_lists l JOIN (SELECT user_id, count(*) AS n_rel FROM relevant GROUP BY 1) c ON c.user_id = l.user_id
+       LEFT JOIN relevant r ON r.user_id = l.user_id AND r.item_id = l.item_id GROUP BY 1, 2""",
+)
+view(
+    "lambda_diversity",
+    """SELECT a.lambda_rel, a.user_id, 1 - avg(len(list_intersect(x.genres, y.genres)) /
+              (len(x.genres) + len(y.genres) - len(list_intersect(x.genres, y.genres)))) AS diversity
+       FROM lambda_lists a JOIN lambda_lists b ON a.lambda_rel = b.lambda_rel AND a.user_id = b.user_id AND a.pos < b.pos
+       JOIN items x ON x.item_id = a.item_id JOIN items y ON y.item_id = b.item_id GROUP BY 1, 2""",
+)
+view(
+    "lambda_metrics",
+    """SELECT lambda_rel, 10 AS k, round(avg(hits / 10), 6) AS precision, round(avg(hits / n_rel), 6) AS recall,
+              round(avg(dcg / list_sum([1 / log2(j + 1) FOR j IN range(1, CAST(least(n_rel, 10) AS INT) + 1)])), 6) AS ndcg,
+              round(avg(CAST(hits > 0 AS INT)), 6) AS hit_rate, round(max(c.n) / (SELECT count(*) FROM items), 6) AS coverage,
+              round(avg(coalesce(diversity, 0)), 6) AS diversity, count(*) AS evaluated_users, max(c.n) AS recommended_items
+       FROM lambda_user LEFT JOIN lambda_diversity USING (lambda_rel, user_id)
+       JOIN (SELECT lambda_rel, count(DISTINCT item_id) AS n FROM lambda_lists GROUP BY 1) c USING (lambda_rel) GROUP BY lambda_rel""",
+)
+
+
+@query(
+    "evl_7_lambda_grid",
+    """SELECT m.*, lambda_rel = (SELECT list_reduce(list({'l': lambda_rel, 'n': ndcg, 'd': diversity, 'r': recall} ORDER BY lambda_rel),
+                lambda best, x: CASE WHEN x.n >= best.n - 0.001 AND (x.d > best.d OR x.n > best.n
+                    OR (x.n = best.n AND (x.d > best.d OR (x.d = best.d AND x.r > best.r)))) THEN x ELSE best END).l
+              FROM lambda_metrics) AS is_best
+       FROM lambda_metrics m""",
+)
 def evl_lambda(d):
-    lists = diversify.mmr(ranked50(d), d.items, 10, (0.5, 0.6, 0.7, 0.8, 0.9))
+    lists = diversify.mmr(ranked50(d), d.items, 10, LAMBDAS)
     table = evaluate.evaluate_lists(lists, d.test, d.items, ["lambda_rel"], (10,))
     return evaluate.choose_lambda(stage(table))
 
