@@ -13,7 +13,7 @@ from quillrec.operators import feedback, knowledge, nearest, prepare, profiles,
 from quillrec.operators.topk import supplement, top_k
 from quillrec.plans.rank_queries import ranked50
 from quillrec.plans.recall_queries import ingredient_bridge
-from quillrec.plans.registry import query, view
+from quillrec.plans.registry import VIEWS, query, view
 from quillrec.session import DEFAULTS, shared_dir, stage
 from quillrec.sinks import tables as sinks
 from quillrec.sources import tables as sources
@@ -314,7 +314,29 @@ def qry_cold_kg(d):
     return scenarios.prefer_members(lists, members, 20)
 
 
-@query("qry_scenario")
+SCENARIO_TAGS_SQL = f"""list_sort(list_distinct({TAGS_SQL} || CASE n_nationkey % 3 WHEN 0 THEN ['main-ingredient', 'easy']
+            WHEN 1 THEN ['healthy', 'dietary'] ELSE ['easy', 'quick', '30-minutes-or-less', 'time-to-make'] END))"""
+view(
+    "scenario_prefs",
+    PREF_SQL.format(
+        tags=SCENARIO_TAGS_SQL,
+        goal_terms="""CASE WHEN n_nationkey % 2 = 0 THEN ['high protein', 'low-calorie']
+                      WHEN n_nationkey % 3 = 1 THEN ['healthy', 'low-calorie', 'low-fat'] ELSE [] END""",
+        minutes="CASE WHEN n_nationkey % 4 = 1 OR n_nationkey % 3 = 2 THEN 30 END",
+        rating="CASE WHEN n_nationkey % 5 = 0 THEN 2.9 WHEN n_nationkey % 3 = 1 THEN 4.0 END",
+        where="",
+    ),
+)
+view("scenario_items", VIEWS["pref_items"].replace("FROM prefs p", "FROM scenario_prefs p"))
+view(
+    "scenario_lists",
+    VIEWS["cold"].replace("pref_items", "scenario_items").replace(
+        "/ 2 ELSE 0 END", "/ 2 WHEN n_nationkey % 3 = 1 THEN CAST(calories <= 500 AS INT) / 2 ELSE 0 END"
+    ),
+)
+
+
+@query("qry_scenario", "SELECT pref_id, item_id, score, CAST(position AS INT) AS position FROM scenario_lists")
 def qry_scenario(d):
     return scenarios.cold_start(scenarios.expand_scenarios(requests(d)), d.item_profile, 20)
 
