@@ -66,18 +66,34 @@ def fine_groups(n: int) -> int:
 
 
 def _point(hashes: np.ndarray, groups_: int) -> bytes:
-    """Shingles in each group, one, two or four bytes each as the greatest needs."""
+    """Shingles in each group: half a byte each, or one, two or four bytes as the greatest needs."""
     counts = np.bincount(hashes % np.uint64(groups_), minlength=groups_)
+    if counts.max() < 16:
+        return (counts[0::2] | counts[1::2] << 4).astype("u1").tobytes()
     return counts.astype(KINDS[np.searchsorted([1 << 8, 1 << 16], counts.max(), side="right")]).tobytes()
 
 
-def _points(data: list[bytes]) -> np.ndarray:
-    out = np.empty((len(data), GROUPS), np.uint32)
-    sizes = np.array([len(x) for x in data]) // GROUPS
-    for size, kind in zip((1, 2, 4), KINDS, strict=True):
-        at = np.flatnonzero(sizes == size)
-        if len(at):
-            out[at] = np.frombuffer(b"".join([data[i] for i in at.tolist()]), kind).reshape(-1, GROUPS)
+def _opened(data: list[bytes], coordinates: int) -> np.ndarray:
+    """Counts (n, coordinates) of points of one width."""
+    joined = b"".join(data)
+    width = len(data[0]) // coordinates
+    if width:
+        return np.frombuffer(joined, f"<u{width}").reshape(len(data), coordinates).astype(np.int32)
+    halves = np.frombuffer(joined, "u1").reshape(len(data), -1)
+    return np.stack([halves & 15, halves >> 4], axis=2).reshape(len(data), coordinates).astype(np.int32)
+
+
+def _points(fine: list[bytes], sizes: np.ndarray) -> np.ndarray:
+    """Points of GROUPS coordinates: the finer ones, whose number of coordinates is a multiple of it, folded."""
+    out = np.empty((len(fine), GROUPS), np.uint32)
+    wide = np.array([fine_groups(n) for n in sizes.tolist()], np.int64)
+    lengths = np.array([len(x) for x in fine], np.int64)
+    for coordinates, length in {*zip(wide.tolist(), lengths.tolist(), strict=True)}:
+        at = np.flatnonzero((wide == coordinates) & (lengths == length))
+        rows = max(1, HELD_BYTES // (4 * coordinates))
+        for some in (at[i : i + rows] for i in range(0, len(at), rows)):
+            counts = _opened([fine[i] for i in some.tolist()], coordinates)
+            out[some] = counts.reshape(len(some), -1, GROUPS).sum(axis=1, dtype=np.uint32)
     return out
 
 
@@ -92,7 +108,7 @@ def finer_bounds(i: np.ndarray, j: np.ndarray, fine: list[bytes], sizes: np.ndar
             if held > HELD_BYTES:
                 wide.clear()
                 held = 0
-            wide[k] = np.frombuffer(fine[k], f"<u{len(fine[k]) // fine_groups(int(sizes[k]))}").astype(np.int32)
+            wide[k] = _opened([fine[k]], fine_groups(int(sizes[k])))[0]
             held += wide[k].nbytes
         return wide[k]
 
@@ -108,24 +124,22 @@ def finer_bounds(i: np.ndarray, j: np.ndarray, fine: list[bytes], sizes: np.ndar
 
 
 def _features(width: int):
-    names = ["id", "n", "s1", "s2", "keys", "point", "fine"]
+    names = ["id", "n", "s1", "s2", "keys", "fine"]
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, first, second, keys, points, fine = [], [], [], [], [], []
+            sizes, first, second, keys, fine = [], [], [], [], []
             for _, words in with_words(batch, 1, lower=True):
                 own = shingles(words, width)
                 sizes.append(len(own))
                 first.append(int(mixed(own).sum(dtype=np.uint64).astype(np.int64)))
                 second.append(int(mixed(own ^ SALT).sum(dtype=np.uint64).astype(np.int64)))
                 keys.append(own[:KEYS].astype(np.int64))
-                points.append(_point(own, GROUPS))
                 fine.append(_point(own, fine_groups(len(own))))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()),
-                    pa.array(second, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(points, pa.binary()),
-                    pa.array(fine, pa.binary()),
+                    pa.array(second, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(fine, pa.binary()),
                 ],
                 names,
             )
@@ -215,8 +229,8 @@ def _search(threshold: int, best: bool):
         if not len(tables):
             return
         key, low, high, chunk, ids, sizes, component = (tables.column(i).to_numpy() for i in range(7))
-        points = _points(tables.column(7).to_pylist())
-        fine = tables.column(8).to_pylist()
+        fine = tables.column(7).to_pylist()
+        points = _points(fine, sizes)
         order = np.lexsort((ids, sizes, high, low, key))
         key, low, high, chunk, ids, sizes, component = (
             x[order] for x in (key, low, high, chunk, ids, sizes, component)
@@ -242,10 +256,10 @@ def _search(threshold: int, best: bool):
     return search
 
 
-BLOCKS = "key long, low int, high int, chunk int, id long, n long, component long, point binary, fine binary"
+BLOCKS = "key long, low int, high int, chunk int, id long, n long, component long, fine binary"
 BLOCK_FIELDS = [
     ("key", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("chunk", pa.int32()),
-    ("id", pa.int64()), ("n", pa.int64()), ("component", pa.int64()), ("point", pa.binary()), ("fine", pa.binary()),
+    ("id", pa.int64()), ("n", pa.int64()), ("component", pa.int64()), ("fine", pa.binary()),
 ]
 
 
@@ -360,7 +374,7 @@ def linked(docs: DataFrame, pairs: DataFrame, rows: int, width: int, threshold:
 
 
 def _cut(blocks: DataFrame, sizes: DataFrame, crossed: bool) -> DataFrame:
-    """Blocks (key, id, n, component, point, fine) with parts of large ones: `sizes` has (key, rows) of those.
+    """Blocks (key, id, n, component, fine) with parts of large ones: `sizes` has (key, rows) of those.
 
     With `crossed` every two parts of a block meet; else each part is searched alone.
     """
@@ -375,7 +389,7 @@ def _cut(blocks: DataFrame, sizes: DataFrame, crossed: bool) -> DataFrame:
         )
         cells = F.when(parts > 1, others).otherwise(cells)
     rows = rows.withColumn("cell", F.explode(cells))
-    return rows.select("key", "cell.low", "cell.high", "chunk", "id", "n", "component", "point", "fine")
+    return rows.select("key", "cell.low", "cell.high", "chunk", "id", "n", "component", "fine")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 75) -> DataFrame:
@@ -389,13 +403,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 75) -> Dat
     """
     spark = docs.sparkSession
     rows = docs.select(id_key().alias("id"), F.col("text").cast("binary").alias("text"))
-    kinds = "id long, n long, s1 long, s2 long, keys array<long>, point binary, fine binary"
+    kinds = "id long, n long, s1 long, s2 long, keys array<long>, fine binary"
     features = stage(rows.mapInArrow(_features(width), kinds).withColumn("sets", F.concat_ws("/", "s1", "s2")))
     count = features.count()
     first = features.where("n > 0").groupBy("sets").agg(F.min("id").alias("rep"))
     members = salted_join(features.select("id", "n", "sets"), first, "sets", "left")
     members = stage(members.select("id", "n", F.coalesce("rep", "id").alias("rep")))
-    points = features.where("n > 0").select("id", "n", "point", "fine", "keys")
+    points = features.where("n > 0").select("id", "n", "fine", "keys")
     points = points.join(members.where("id = rep").select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
     points = stage(points)
 
@@ -404,7 +418,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 75) -> Dat
         near = cut.mapInArrow(_search(threshold, best), "a long, b long")
         return linked(docs, near, count, width, threshold)
 
-    blocks = points.select("id", "n", F.col("id").alias("component"), "point", "fine", F.explode("keys").alias("key"))
+    blocks = points.select("id", "n", F.col("id").alias("component"), "fine", F.explode("keys").alias("key"))
     links = searched(blocks, blocks.groupBy("key").agg(F.count("*").alias("rows")), best=True)
 
     parts = parts_for(docs, BYTES_PER_PART)
@@ -420,8 +434,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 75) -> Dat
         open_blocks = stage(open_blocks.where("least < greatest").select("key", "rows"))
         found = stage(salted_join(found, open_blocks.select("key", F.lit(True).alias("open")), "key").drop("open"))
         blocks = found.join(known.select("id", F.coalesce("component", "id").alias("component")), "id")
-        blocks = blocks.join(points.select("id", "n", "point", "fine"), "id")
-        blocks = blocks.select("id", "n", "component", "point", "fine", "key")
+        blocks = blocks.join(points.select("id", "n", "fine"), "id")
+        blocks = blocks.select("id", "n", "component", "fine", "key")
         links = links.unionByName(searched(blocks, open_blocks, best))
     found = components(links).withColumnRenamed("id", "rep")
     return members.join(found, "rep", "left").select(

@@ -47,8 +47,25 @@ def test_stages_follow_plain_versions(spark, tmp_path):
     assert {r.doc_id for r in packed.collect()} == set(kept)
 
 
+def test_repeated_rows_null_ids_and_clashing_names(spark):
+    rng = random.Random(5)
+    one, other, third = (prose(rng, 60) for _ in range(3))
+    rows = [(1, one), (1, one), (2, other), (None, third), (None, third), (3, other + " end"), (4, None), (4, ""), (5, prose(rng, 3))]
+    schema = "doc_id long, text string, kept string, spans string, n_words int, id long, score double, found string, _row string"
+    docs = spark.createDataFrame([(*x, "k", "s", 7, 9, 0.5, "f", "r") for x in rows], schema).repartition(3)
+    alone = corpus_pipeline.one_of_each_group(spark, docs, "")
+    assert alone.columns == docs.columns
+    found = sorted(((r.doc_id, r.text) for r in alone.collect()), key=repr)
+    assert found == sorted({*rows} - {(3, other + " end")}, key=repr)
+    cut = corpus_pipeline.without_repeats(spark, docs, "")
+    assert cut.columns == docs.columns
+    assert all(tuple(r)[2:] == ("k", "s", 7, 9, 0.5, "f", "r") for r in cut.collect())
+    for build in (corpus_pipeline.one_of_each_group, corpus_pipeline.without_repeats):
+        assert build(spark, docs.limit(0), "").collect() == []
+
+
 def test_registered():
     names = __spark_entry__.queries()
-    assert [sum(x.startswith(f"op{n}_") for x in names) for n in range(1, 11)] == [1] * 10
+    assert [sum(x.startswith(f"op{n}_") for x in names) for n in range(1, 14)] == [1] * 13
     assert "pipeline" in names and 4 <= len(corpus_pipeline.STAGES) <= 5
     assert set(__spark_entry__.oracle_sql()) <= set(names)
