@@ -61,8 +61,8 @@ def shingles(words: np.ndarray, width: int) -> np.ndarray:
 
 
 def fine_groups(n: int) -> int:
-    """Coordinates of the finer point of a document of n shingles: a power of two, one or two shingles each."""
-    return max(GROUPS, 1 << (max(1, n) // 2).bit_length())
+    """Coordinates of the finer point of a document of n shingles: a power of two, two to four shingles each."""
+    return max(GROUPS, 1 << (max(1, n) // 4).bit_length())
 
 
 def _point(hashes: np.ndarray, groups_: int) -> bytes:
