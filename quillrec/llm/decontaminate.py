@@ -34,6 +34,10 @@ STRONG, WEAK, ANSWER = 0.75, 0.6, 0.75
 GROUP_WORDS = 100_000
 TERM_BLOCK = 512
 MAX_CACHED = 1_000_000
+SLOTS = 4096  # of the signature of a region's words
+REGIONS = 1024  # signatures held at once
+WINDOWS = 8192  # compared with
+ITEMS = 1024  # items at once
 BLANK = 1
 
 
@@ -157,6 +161,7 @@ def _multiply(shared):
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, basis = shared.value
+        scaled = basis * weights[:, None]
         total = np.zeros(basis.shape, np.float64)
         for _, codes, lengths in _groups(batches):
             own = weights[codes]
@@ -166,12 +171,13 @@ def _multiply(shared):
             code, own, passage = codes[at], own[at], _passages(lengths)[at]
             first = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
             row = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(at))))
-            rows = np.add.reduceat(basis[code] * own[:, None], first, axis=0)
+            rows = np.add.reduceat(scaled[code], first, axis=0)
             rows /= np.add.reduceat(own * own, first)[:, None]
             order = np.argsort(code, kind="stable")
             ends = code[order]
             starts = np.flatnonzero(np.concatenate([[True], ends[1:] != ends[:-1]]))
-            total[ends[starts]] += np.add.reduceat(rows[row[order]] * own[order][:, None], starts, axis=0)
+            total[ends[starts]] += np.add.reduceat(rows[row[order]], starts, axis=0)
+        total *= weights[:, None]
         blocks = range(0, len(total), TERM_BLOCK)
         data = [total[b : b + TERM_BLOCK].tobytes() for b in blocks]
         yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int32()), pa.array(data, pa.binary())], ["block", "data"])
@@ -246,6 +252,27 @@ def needs_all_windows(item: np.ndarray, weights: np.ndarray) -> bool:
     return np.count_nonzero(weights[item]) - changed < MIN_TERMS
 
 
+def may_hold_words(
+    codes: np.ndarray, low: np.ndarray, high: np.ndarray, items: np.ndarray, slots: list[np.ndarray], needed: np.ndarray
+) -> np.ndarray:
+    """Which regions low..high of `codes` may hold `needed` distinct words of their item; these come in order of items.
+
+    Words are looked up in a signature of the region, one slot a word, so at least the words in common are counted.
+    """
+    out = np.zeros(len(low), bool)
+    for first in range(0, len(low), REGIONS):
+        part = slice(first, first + REGIONS)
+        place = np.minimum(low[part, None] + np.arange((high[part] - low[part]).max()), high[part, None] - 1)
+        seen = np.zeros((len(place), SLOTS), np.uint8)
+        seen.ravel()[codes[place] % SLOTS + np.arange(len(place))[:, None] * SLOTS] = 1
+        own = items[part]
+        cuts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            held = seen[a:b].take(slots[own[a]], axis=1).sum(axis=1, dtype=np.int64)
+            out[first + a : first + b] = held >= needed[own[a]]
+    return out
+
+
 def whole_runs(runs: dict[int, dict[bytes, list[int]]], terms: int):
     """Finds each item of `runs` (by length, then by codes) as a run of words, punctuation between them aside."""
     heads = {n: np.zeros(terms, bool) for n in runs}
@@ -274,6 +301,7 @@ def _searcher(shared, kind: str):
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, axes, items = shared.value
+        scaled = axes * weights[:, None]
         vectors = np.zeros((len(items), axes.shape[1]), np.float32)
         short: dict[int, dict[bytes, list[int]]] = {}
         for i, item in enumerate(items):
@@ -291,14 +319,15 @@ def _searcher(shared, kind: str):
         words_of = [frozenset(x.tolist()) for x in items]
         # A subsequence has at most the distinct words in common and all of the item's repeats.
         needed = [WEAK * len(x) - (len(x) - len(own)) for x, own in zip(items, words_of, strict=True)]
+        slots = [np.array(sorted(x), np.int64) % SLOTS for x in words_of]
+        least = np.array(needed)
         tails = [x[-max(4, len(x) // 4) :] for x in items]
         tail_masks = [lcs_masks(x) for x in tails]
         for ids, codes, lengths in _groups(batches):
             ends = np.cumsum(lengths)
-            own = weights[codes]
-            at = np.flatnonzero(own)
+            at = np.flatnonzero(weights[codes])
             sums = np.zeros((len(at) + 1, axes.shape[1]))
-            np.cumsum(axes[codes[at]] * own[at][:, None], axis=0, out=sums[1:])
+            np.cumsum(scaled[codes[at]], axis=0, out=sums[1:])
             best: dict[tuple[int, int], tuple] = {}
 
             def compare(d: int, item: int, cosine: float | None, start: int, end: int, size: int) -> None:
@@ -335,21 +364,29 @@ def _searcher(shared, kind: str):
                     member = np.zeros(len(weights), bool)
                     member[items[item]] = True
                     held = np.concatenate([[0], np.cumsum(member[codes], dtype=np.int32)])
-                    for row in np.flatnonzero(held[high] - held[low] >= WEAK * len(items[item])).tolist():
+                    rows = np.flatnonzero(held[high] - held[low] >= WEAK * len(items[item]))
+                    same = np.full(len(rows), item)
+                    for row in rows[may_hold_words(codes, low[rows], high[rows], same, slots, least)].tolist():
                         compare(int(doc[row]), item, None, int(start[row]), int(end[row]), size)
                 if not len(wanted):
                     continue
                 a, b = np.searchsorted(at, start), np.searchsorted(at, end)
                 full = b - a >= MIN_TERMS
                 doc, start, end, a, b = (x[full] for x in (doc, start, end, a, b))
-                for part in range(0, len(doc), 8192):
-                    p = slice(part, part + 8192)
+                for part in range(0, len(doc), WINDOWS):
+                    p = slice(part, part + WINDOWS)
                     latent = (sums[b[p]] - sums[a[p]]).astype(np.float32)
-                    latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-                    cosines = latent @ vectors[wanted].T
-                    for w, i in zip(*(x.tolist() for x in np.nonzero(cosines >= COSINE)), strict=True):
-                        row = part + w
-                        compare(int(doc[row]), int(wanted[i]), float(cosines[w, i]), start[row], end[row], size)
+                    length = np.maximum(np.sqrt(np.einsum("ij,ij->i", latent, latent)), np.float32(1e-12))
+                    for block in (wanted[x : x + ITEMS] for x in range(0, len(wanted), ITEMS)):
+                        products = vectors[block] @ latent.T
+                        near, w = np.nonzero(products >= COSINE * length)
+                        row, near_item = part + w, block[near]
+                        low = np.maximum(ends[doc[row]] - lengths[doc[row]], start[row] - size // 2)
+                        high = np.minimum(ends[doc[row]], end[row] + size // 2)
+                        some = np.flatnonzero(may_hold_words(codes, low, high, near_item, slots, least))
+                        cosines = products[near[some], w[some]] / length[w[some]]
+                        for r, i, cosine in zip(row[some].tolist(), near_item[some].tolist(), cosines.tolist(), strict=True):
+                            compare(int(doc[r]), i, cosine, start[r], end[r], size)
             rows = [(ids[d], i, *found) for (d, i), found in sorted(best.items())]
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
             first = pa.array(columns[0]) if any(x is not None for x in columns[0]) else pa.nulls(len(rows), pa.int64())
