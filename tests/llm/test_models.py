@@ -298,3 +298,20 @@ def test_long_texts_are_sampled_in_windows(spark):
     texts, labels = language.sample_texts(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 5)
     assert sum(len(part) for parts in texts for part in parts) <= 3 * language.WINDOWS_PER_TEXT * language.WINDOW
     assert [b"short one"] in texts and set(labels) == {"xx", "yy"} and len(labels) == len(texts)
+
+
+def test_signatures_never_miss_words_in_common():
+    draw = np.random.RandomState(5)
+    for terms in (300, 3 * decontaminate.SLOTS):  # without and with words that share a slot
+        codes = draw.randint(0, terms, 5000).astype(np.int32)
+        texts = [draw.choice(np.arange(2, terms), 20, replace=False) for _ in range(7)]
+        low = draw.randint(0, 4900, 3000)
+        high = low + draw.randint(1, 100, 3000)
+        items = np.sort(draw.randint(0, 7, 3000))
+        common = np.array([len(set(codes[a:b]) & set(texts[i])) for a, b, i in zip(low, high, items, strict=True)])
+        slots = [x % decontaminate.SLOTS for x in texts]
+        found = decontaminate.may_hold_words(codes, low, high, items, slots, np.full(7, 3.0))
+        assert found[common >= 3].all() and (common >= 3).any()
+        assert terms > decontaminate.SLOTS or (found == (common >= 3)).all()
+    none = np.empty(0, np.int64)
+    assert len(decontaminate.may_hold_words(codes, none, none, none, slots, np.full(7, 3.0))) == 0
