@@ -18,6 +18,7 @@ from quillrec.session import DEFAULTS, shared_dir, stage
 from quillrec.sinks import tables as sinks
 from quillrec.sources import tables as sources
 from quillrec.streaming import feedback_stream as fs
+from quillrec.streaming.keyed_sink import KeyedSink, write_keyed
 
 DIGITS = 6
 STREAM_LIMIT_SECONDS = 3600
@@ -668,6 +669,16 @@ def run_stream(d, stream: DataFrame, name: str, mode: str = "update", transform=
     return path
 
 
+def run_keyed(d, stream: DataFrame, name: str, transform=None, alive: str | None = None) -> DataFrame:
+    """Newest rows of each user once the stream is drained."""
+    sink = KeyedSink(scratch(d, name), "user_id", alive)
+    handle = write_keyed(stream, sink, scratch(d, f"{name}-checkpoint"), transform)
+    if not handle.awaitTermination(STREAM_LIMIT_SECONDS):
+        handle.stop()
+        raise TimeoutError(f"stream {name} did not finish in {STREAM_LIMIT_SECONDS} s")
+    return sink.rows(d.spark)
+
+
 view("stream_events", "SELECT * FROM feedback WHERE feedback_type <> 'exposure' AND event_id % 100 NOT IN (7, 8)")
 
 
@@ -724,14 +735,10 @@ def keyed_state(spark):
         spark.conf.set(name, before)
 
 
-def profile_stream(d) -> str:
-    with keyed_state(d.spark):
-        return run_stream(d, fs.live_profile_stream(fs.good_events(messages(d)), ttl_ms=None), "profiles")
-
-
 @query("str_3_live_profiles", PROFILE_SQL.format(source="stream_events"))
 def str_profiles(d):
-    latest = fs.latest_per_key(d.spark, profile_stream(d), "user_id")
+    with keyed_state(d.spark):
+        latest = run_keyed(d, fs.live_profile_stream(fs.good_events(messages(d)), ttl_ms=None), "profiles")
     return joined(latest.select("user_id", *LISTS), *LISTS)
 
 
@@ -816,12 +823,12 @@ view(
 
 @query("snk_5_live_sink", LIVE_SQL.format(seeds="stream_seeds"))
 def live_sink(d):
-    """Stream to profiles to recommendations, one idempotent folder per batch; each user's newest list counts."""
+    """Stream to profiles to recommendations in a compacted sink; each user's newest list counts."""
     similar = stage(nearest.similar_vectors(d.vectors, 160))
     stream = fs.live_profile_stream(fs.good_events(messages(d)), ttl_ms=None)
     with keyed_state(d.spark):
-        path = run_stream(d, stream, "live", transform=lambda batch: fs.replacing_lists(batch, similar, 20))
-    return fs.newest_lists(d.spark, path, "user_id").select("user_id", "item_id", "score", "position")
+        rows = run_keyed(d, stream, "live", lambda batch: fs.replacing_lists(batch, similar, 20), "item_id IS NOT NULL")
+    return rows.select("user_id", "item_id", "score", "position")
 
 
 @query("str_7_event_counters", "SELECT feedback_type AS event_type, count(*) AS n FROM stream_events GROUP BY 1")

@@ -219,13 +219,6 @@ def latest_per_key(spark: SparkSession, path: str, key: str) -> DataFrame:
     return best.select(key, "r.*")
 
 
-def newest_lists(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """Items of each key's newest batch over the batch folders: later lists replace earlier ones whole."""
-    df = spark.read.parquet(path)
-    newest = df.groupBy(key).agg(F.max("batch_id").alias("batch_id"))
-    return df.join(newest, [key, "batch_id"]).drop("batch_id").where(F.col("item_id").isNotNull())
-
-
 def profile_seeds(profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(seeds, blocked) of live recommendations from a table of profiles."""
     arrays = F.arrays_zip(
