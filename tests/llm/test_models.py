@@ -303,8 +303,9 @@ def test_long_texts_are_sampled_in_windows(spark):
 def test_signatures_never_miss_words_in_common():
     draw = np.random.RandomState(5)
     for terms in (300, 3 * decontaminate.SLOTS):  # without and with words that share a slot
-        codes = draw.randint(0, terms, 5000).astype(np.int32)
         texts = [draw.choice(np.arange(2, terms), 20, replace=False) for _ in range(7)]
+        words, others = draw.choice(np.concatenate(texts), 5000), draw.randint(0, terms, 5000)
+        codes = np.where(draw.rand(5000) < 0.3, words, others).astype(np.int32)
         low = draw.randint(0, 4900, 3000)
         high = low + draw.randint(1, 100, 3000)
         items = np.sort(draw.randint(0, 7, 3000))
