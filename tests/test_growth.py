@@ -7,7 +7,7 @@ from collections import Counter
 
 import pytest
 
-from quillrec.operators import itemcf
+from quillrec.operators import features, itemcf
 
 
 def plan(df) -> str:
@@ -42,3 +42,20 @@ def test_pairs_of_liked_items_do_not_move(spark, monkeypatch, chunk, part):
     assert got == {a: set(b) for a, b in plain_neighbours(liked, 5).items()}
     train = rows.selectExpr("user_id", "item_id", "5D AS rating", "0L AS ts")
     assert "item_j" not in plan(itemcf.itemcf_recall(train)) and "item_j" not in plan(near)
+
+
+def test_pair_features_broadcast_nothing(spark):
+    """Two columns of long compressed lists look small to the planner; no table that grows is broadcast."""
+    users = spark.range(20).selectExpr(
+        "id AS user_id", "1L AS user_rating_count", "4D AS user_avg_rating", "0D AS user_rating_std", "4D AS user_min_rating",
+        "4D AS user_max_rating", "'low' AS active_level", "array('a') AS favorite_genres", "array('1990s') AS favorite_decades",
+    )
+    items = spark.range(20).selectExpr(
+        "id AS item_id", "3D AS item_avg_rating", "1L AS item_rating_count", "0D AS item_rating_std", "1D AS item_popularity",
+        "1995 AS year", "'1990s' AS decade", "array('a', 'b') AS genres", "2 AS genre_count", "2L AS tag_count",
+    )
+    recall = spark.range(20).selectExpr("id AS user_id", "id AS item_id", "0.5D AS hot_score", "1 AS is_hot_recall", "0.7D AS merged_score")
+    pairs = spark.range(20).selectExpr("id AS user_id", "id AS item_id", "1 AS label")
+    found = features.with_pair_features(pairs, users, items, recall)
+    assert "Broadcast" not in plan(found)
+    assert {(r.genre_match_score, r.merged_score) for r in found.collect()} == {(0.5, 0.7)}
