@@ -5,9 +5,10 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from quillrec.operators import features, itemcf
+from quillrec.operators import features, itemcf, nearest
 
 
 def plan(df) -> str:
@@ -59,3 +60,30 @@ def test_pair_features_broadcast_nothing(spark):
     found = features.with_pair_features(pairs, users, items, recall)
     assert "Broadcast" not in plan(found)
     assert {(r.genre_match_score, r.merged_score) for r in found.collect()} == {(0.5, 0.7)}
+
+
+def test_vectors_meet_in_blocks(spark, monkeypatch):
+    """Similar vectors and unseen items equal brute force over several groups, blocks and steps; no row per query and cell moves."""
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(90, 6))
+    vectors[:20] = vectors[0]  # ties
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "item_id long, vector array<double>")
+    similar = nearest.similar_vectors(rows, 7)
+    assert "CoGroup" in plan(similar)
+    monkeypatch.setattr("quillrec.operators.blocks.QUERIES", (8, 16))
+    monkeypatch.setattr("quillrec.operators.blocks.ITEMS", 40)
+    monkeypatch.setattr("quillrec.operators.blocks.STEP", (5, 9))
+    scores = np.round(vectors @ vectors.T, 6)
+    wanted = {i: sorted((-scores[i, j], j) for j in range(90) if j != i)[:7] for i in range(90)}
+    for found in (similar, nearest.similar_vectors(rows, 7)):
+        got: dict = {}
+        for r in found.collect():
+            got.setdefault(r.item_id, []).append((-r.score, r.similar_id))
+        assert all([j for _, j in sorted(got[i])] == [j for _, j in wanted[i]] for i in wanted)
+    seen = spark.createDataFrame([(i, j) for i in range(90) for j in range(i)], "user_id long, item_id long")
+    users = rows.withColumnRenamed("item_id", "user_id")
+    got = {}
+    for r in nearest.nearest_unseen(users, rows, seen, 4).collect():
+        got.setdefault(r.user_id, []).append((-r.score, r.item_id))
+    fresh = {i: sorted((-scores[i, j], j) for j in range(i, 90))[:4] for i in range(90)}
+    assert all([j for _, j in sorted(got[i])] == [j for _, j in fresh[i]] for i in fresh)
