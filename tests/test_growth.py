@@ -6,9 +6,10 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from quillrec.operators import features, itemcf, nearest
+from quillrec.operators import bitmaps, features, itemcf, nearest
 
 
 def plan(df) -> str:
@@ -87,3 +88,22 @@ def test_vectors_meet_in_blocks(spark, monkeypatch):
         got.setdefault(r.user_id, []).append((-r.score, r.item_id))
     fresh = {i: sorted((-scores[i, j], j) for j in range(i, 90))[:4] for i in range(90)}
     assert all([j for _, j in sorted(got[i])] == [j for _, j in fresh[i]] for i in fresh)
+
+
+def test_a_block_of_items_moves_once_for_its_requests(spark, monkeypatch):
+    """Requests pass by their block in the task that holds it; the block is not copied for every few of them."""
+
+    def sent(n, work):
+        def count(batches):
+            for batch in batches:
+                held = len(batch) - batch.column(batch.schema.get_field_index("ids")).null_count
+                yield pa.RecordBatch.from_arrays([pa.array([0] * held), pa.array([0] * held), pa.array([0.0] * held)], ["qid", "item_id", "score"])
+
+        return count
+
+    monkeypatch.setattr(bitmaps, "_matcher", sent)
+    monkeypatch.setattr(bitmaps, "PACK", 4, raising=False)
+    block = spark.sql("SELECT 0L AS block, array(5L, 6L) AS ids, array(1L) AS terms, array(2L) AS sizes, array(0, 1) AS places")
+    requests = spark.range(200).selectExpr("id AS qid", "array(1L) AS terms")
+    open_at = spark.range(200).selectExpr("id AS qid", "0L AS block", "0L AS floor")
+    assert bitmaps._visited(open_at, requests, block, 5, None).count() == 1
