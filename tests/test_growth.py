@@ -9,7 +9,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quillrec.operators import bitmaps, features, itemcf, nearest
+from quillrec.operators import bitmaps, features, fuse, itemcf, nearest
+from quillrec.sources.domain import Domain
 
 
 def plan(df) -> str:
@@ -107,3 +108,21 @@ def test_a_block_of_items_moves_once_for_its_requests(spark, monkeypatch):
     requests = spark.range(200).selectExpr("id AS qid", "array(1L) AS terms")
     open_at = spark.range(200).selectExpr("id AS qid", "0L AS block", "0L AS floor")
     assert bitmaps._visited(open_at, requests, block, 5, None).count() == 1
+
+
+def test_tasks_of_candidates_hold_a_bounded_number_of_rows(spark, monkeypatch):
+    """Candidates compress to a few bytes a row, so their tasks are cut by rows and are not coalesced by bytes."""
+    monkeypatch.setattr("quillrec.operators.skew.TASK_ROWS", 25, raising=False)
+    monkeypatch.setattr(itemcf, "TASK_LIKES", 25, raising=False)
+    lists = spark.range(400).selectExpr("id % 40 AS user_id", "id AS item_id", "'hot' AS channel", "1D / (1 + id) AS score")
+    wide = fuse.wide_candidates(lists, ("hot", "itemcf"))
+    train = spark.range(400).selectExpr("id % 40 AS user_id", "id % 30 AS item_id", "5D AS rating", "id AS ts")
+    for df in (wide, itemcf.itemcf_recall(train)):
+        rows = df.collect()
+        assert df.rdd.getNumPartitions() >= 5 and len(rows) == len({(r.user_id, r.item_id) for r in rows})
+    assert wide.count() == 400
+
+
+def test_queries_ask_for_small_tasks(spark):
+    Domain(spark, "/nowhere")
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "8m"
