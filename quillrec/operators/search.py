@@ -138,7 +138,7 @@ def weighted_search(
     wanted = wanted.select("term", "word", "field", (F.col("weight") * idf).alias("w"), "avg_len")
     norm = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     per_term = (
-        wanted.join(postings, ["word", "field"])
+        wanted.join(postings.hint("merge"), ["word", "field"])  # the planner takes exploded words for a small table
         .groupBy("term", "field", key)
         .agg(F.max(F.col("w") * norm * F.try_element_at(boost, F.col("field"))).alias("s"))
     )

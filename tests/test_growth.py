@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from quillrec.operators import bitmaps, features, fuse, itemcf, nearest
+from quillrec.operators import bitmaps, features, fuse, itemcf, nearest, search
 from quillrec.sources.domain import Domain
 
 
@@ -126,3 +127,13 @@ def test_tasks_of_candidates_hold_a_bounded_number_of_rows(spark, monkeypatch):
 def test_queries_ask_for_small_tasks(spark):
     Domain(spark, "/nowhere")
     assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "8m"
+
+
+def test_words_of_documents_are_not_broadcast(spark, tmp_path):
+    """Words exploded from short files look small to the planner; the table of all documents' words must be joined."""
+    spark.range(300).selectExpr("id AS item_id", "'red bolt' AS title", "'large ring' AS tags_text").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    queries = spark.createDataFrame([("red bolt",), ("rings",)], "query string")
+    found = search.weighted_search(queries, docs, "item_id", {"title": 4.0, "tags_text": 1.0}, 5)
+    assert re.search(r"SortMergeJoin \[word#\d+, field#\d+\]", plan(found))
+    assert {(r.query, r.item_id) for r in found.collect()} == {(q, i) for q in ("red bolt", "rings") for i in range(5)}
