@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillrec.functions.scores import safe_ratio
+from quillrec.operators.itemcf import _order, _runs, _within
 from quillrec.operators.topk import ranked_list, top_k
+from quillrec.session import stage
 
 # Fixed values.
 VALID_TYPES = ("click", "like", "dislike", "not_interested", "seen", "rating")
@@ -20,6 +24,8 @@ POSITIVE_FLOOR, POSITIVE_SEEDS = 0.75, 20
 DIGITS = 6
 # Six-digit similarities times four-digit weights have ten digits: rounding there removes only float noise.
 SCORE_DIGITS = 10
+GROUP_SEEDS = 50_000  # seeds and blocked items of the users of a group
+AT_ONCE = 1_000_000  # neighbours of seeds that are summed at once
 
 
 def ab_metrics(recommendation_log: DataFrame, feedback_log: DataFrame, dedup: bool = False) -> DataFrame:
@@ -134,16 +140,71 @@ def seed_weights(recent: DataFrame, positives: DataFrame) -> DataFrame:
     return merged.where(F.col("weight").isNotNull() | F.col("negative")).select("user_id", "item_id", "weight")
 
 
+def _best_live(k: int):
+    """The k best items of every user of a group. Rows without a weight block an item, which counts as the value -inf."""
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        users = left["user_id"].combine_chunks().dictionary_encode(null_encoding="encode")
+        order = np.argsort(users.indices.to_numpy(), kind="stable")
+        who, items = users.indices.to_numpy()[order].astype(np.int64), left["item_id"].to_numpy()[order]
+        weights = left["weight"].to_numpy()[order]
+        blocks = left["weight"].is_null().to_numpy()[order]
+        known = np.argsort(right["seed"].to_numpy())
+        names, ids, similarity = right["seed"].to_numpy()[known], right["ids"].combine_chunks(), right["similarity"].combine_chunks()
+        first, sizes = ids.offsets.to_numpy()[:-1][known], np.diff(ids.offsets.to_numpy())[known]
+        ids, similarity = (x.values.to_numpy(zero_copy_only=False) for x in (ids, similarity))
+        at = np.minimum(np.searchsorted(names, items), max(0, len(names) - 1))
+        listed = ~blocks & (names[at] == items) if len(names) else np.zeros(len(items), bool)
+        sent = np.where(listed, sizes[at], 0) if len(names) else np.zeros(len(items), np.int64)
+        ends = np.flatnonzero(np.append(who[1:] != who[:-1], True)) + 1 if len(who) else np.zeros(0, int)
+        upto, found, low = np.append(0, np.cumsum(sent + blocks)), [], 0
+        while low < len(who):
+            high = ends[max(np.searchsorted(upto[ends], upto[low] + AT_ONCE, side="right") - 1, np.searchsorted(ends, low, side="right"))]
+            own = low + np.flatnonzero(listed[low:high])
+            shut = low + np.flatnonzero(blocks[low:high])
+            n = sent[own]
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[at[own]] if len(own) else n, n)
+            group = np.concatenate([np.repeat(who[own], n), who[shut]])
+            other = np.concatenate([ids[place], items[shut]])
+            value = np.concatenate([similarity[place] * np.repeat(weights[own], n), np.full(len(shut), -np.inf)])
+            by = _order(group, other)
+            group, other, value = group[by], other[by], value[by]
+            starts = _runs(group, other) if len(group) else np.zeros(0, int)
+            group, other = group[starts], other[starts]
+            score = np.round(np.add.reduceat(value, starts), SCORE_DIGITS) if len(starts) else value
+            by = np.lexsort((other, -score, group))
+            by = by[score[by] > -np.inf]
+            position = _within(group[by]) + 1 if len(by) else by + 1
+            by, position = by[position <= k], position[position <= k]
+            found.append((group[by], other[by], score[by], position))
+            low = high
+        group, other, score, position = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.zeros(0, int)] * 4
+        user = users.dictionary.take(pa.array(group, pa.int64()))
+        columns = [user, pa.array(other, pa.int64()), pa.array(score, pa.float64()), pa.array(position, pa.int32())]
+        return pa.table(columns, ["user_id", "item_id", "score", "position"])
+
+    return best
+
+
 def live_recommendations(seeds: DataFrame, blocked: DataFrame, similar: DataFrame, k: int = 20) -> DataFrame:
     """Sum over seeds of similarity * weight on their neighbours, without blocked items.
 
     `seeds`: (user_id, item_id, weight); `similar`: (item_id, similar_id, score), at most max(8k, 40)
-    neighbours per item.
+    neighbours per item. Users are dealt into groups of about GROUP_SEEDS rows. An item's neighbours move once to each group that has
+    it as a seed, as one row of arrays, and are summed there; no row for a seed and a neighbour moves.
     """
-    near = similar.select("item_id", "similar_id", F.col("score").alias("similarity"))
-    weighted = seeds.where(F.col("weight").isNotNull()).join(near, "item_id")
-    scored = weighted.groupBy("user_id", F.col("similar_id").alias("item_id")).agg(
-        F.round(F.sum(F.col("similarity") * F.col("weight")), SCORE_DIGITS).alias("score")
+    item = F.col("item_id").cast("long").alias("item_id")
+    rows = seeds.where(F.col("weight").isNotNull()).select("user_id", item, F.col("weight").cast("double").alias("weight"))
+    shut = blocked.where("user_id is not null").select("user_id", item).distinct().withColumn("weight", F.lit(None).cast("double"))
+    rows = stage(rows.unionByName(shut).where("item_id is not null"))
+    groups = max(1, -(-rows.count() // GROUP_SEEDS))
+    rows = rows.withColumn("group", F.pmod(F.xxhash64("user_id"), F.lit(groups)).cast("int"))
+    entry = F.struct(F.col("similar_id").cast("long").alias("id"), F.col("score").cast("double").alias("s"))
+    lists = similar.groupBy(item).agg(F.collect_list(entry).alias("x"))
+    lists = lists.select(F.col("item_id").alias("seed"), F.col("x.id").alias("ids"), F.col("x.s").alias("similarity"))
+    asked = rows.where("weight is not null").select(F.col("group").alias("part"), F.col("item_id").alias("seed")).distinct()
+    wanted = asked.join(lists.hint("merge"), "seed")
+    kind = rows.schema["user_id"].dataType.simpleString()
+    return rows.groupBy("group").cogroup(wanted.groupBy("part")).applyInArrow(
+        _best_live(k), f"user_id {kind}, item_id long, score double, position int"
     )
-    fresh = scored.join(blocked.select("user_id", "item_id").distinct(), ["user_id", "item_id"], "left_anti")
-    return top_k(fresh, ["user_id"], [F.desc("score"), F.asc("item_id")], k, "position")
