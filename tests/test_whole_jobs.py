@@ -8,7 +8,7 @@ import random
 
 import pytest
 
-from quillrec.operators import evaluate, features, feedback, ranks
+from quillrec.operators import evaluate, features, feedback, models, ranks
 
 
 def plan(df) -> str:
@@ -121,3 +121,11 @@ def test_only_the_last_range_of_a_sample_is_ordered(spark, monkeypatch):
         wanted += [x[1:] for x in sorted(own, key=lambda x: x[:3])[: max(1, 400 * len(own) // len(rows))]]
     assert sorted(map(tuple, found.collect()), key=str) == sorted(wanted, key=str)
     assert ranks.lowest_per_label(df.limit(0), "label", features.seeded_hash(1, "user_id"), [], 5).count() == 0
+
+
+def test_models_hold_a_bounded_number_of_rows_in_a_task(spark, monkeypatch):
+    monkeypatch.setattr(models, "MODEL_ROWS", 50, raising=False)
+    train = spark.range(0, 400, 1, 1).selectExpr("double(id % 9) AS x", "double(id % 4) AS y", "double(id % 5) AS rating", "id AS user_id")
+    assert models.training_rows(train, ["x", "rating"]).rdd.glom().map(len).max() <= 60
+    found = models.regression_metrics(models.rating_regressor(train, ("x", "y"), 2).scored(train)).first()
+    assert found.n == 400 and 0 < found.rmse < 2
