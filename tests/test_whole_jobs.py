@@ -129,3 +129,21 @@ def test_models_hold_a_bounded_number_of_rows_in_a_task(spark, monkeypatch):
     assert models.training_rows(train, ["x", "rating"]).rdd.glom().map(len).max() <= 60
     found = models.regression_metrics(models.rating_regressor(train, ("x", "y"), 2).scored(train)).first()
     assert found.n == 400 and 0 < found.rmse < 2
+
+
+def test_labels_of_candidates_need_no_shuffle_of_their_own(spark):
+    """Labels come by user, as the user profile does; a like without a candidate and a user without likes change nothing."""
+    users = spark.range(6).selectExpr(
+        "id AS user_id", "1L AS user_rating_count", "4D AS user_avg_rating", "0D AS user_rating_std", "4D AS user_min_rating",
+        "4D AS user_max_rating", "'low' AS active_level", "array('a') AS favorite_genres", "array('1990s') AS favorite_decades",
+    )
+    items = spark.range(6).selectExpr(
+        "id AS item_id", "3D AS item_avg_rating", "1L AS item_rating_count", "0D AS item_rating_std", "1D AS item_popularity",
+        "1995 AS year", "'1990s' AS decade", "array('a', 'b') AS genres", "2 AS genre_count", "2L AS tag_count",
+    )
+    recall = spark.range(24).selectExpr("id % 6 AS user_id", "id % 4 AS item_id", "0.5D AS hot_score", "1 AS is_hot_recall", "0.7D AS merged_score").distinct()
+    test = spark.createDataFrame([(0, 0, 5.0), (0, 0, 4.0), (1, 1, 4.0), (1, 3, 5.0), (2, 2, 3.0), (5, 5, 5.0)], "user_id long, item_id long, rating double")
+    found = features.candidate_features(recall, test, users, items)
+    rows = found.collect()
+    assert "SortMergeJoin [user_id" in plan(found) and ", item_id" not in "".join(x for x in plan(found).splitlines() if "SortMergeJoin" in x)
+    assert len(rows) == recall.count() and {(r.user_id, r.item_id) for r in rows if r.label == 1} == {(0, 0), (1, 1), (1, 3)}
