@@ -10,7 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quillrec.operators import bitmaps, features, fuse, itemcf, nearest, search
+from quillrec.operators import bitmaps, features, fuse, hot, itemcf, nearest, search
+from quillrec.plans import catalog
 from quillrec.sources.domain import Domain
 
 
@@ -137,3 +138,33 @@ def test_words_of_documents_are_not_broadcast(spark, tmp_path):
     found = search.weighted_search(queries, docs, "item_id", {"title": 4.0, "tags_text": 1.0}, 5)
     assert re.search(r"SortMergeJoin \[word#\d+, field#\d+\]", plan(found))
     assert {(r.query, r.item_id) for r in found.collect()} == {(q, i) for q in ("red bolt", "rings") for i in range(5)}
+
+
+@pytest.mark.parametrize("head", [10_000, 4])
+def test_popularity_moves_only_reachable_places(spark, monkeypatch, head):
+    """Seen items below the deepest place a list can reach are not moved; lists equal a plain count, with repeats, too."""
+    rng = random.Random(8)
+    seen = [(u, i) for u in range(12) for i in rng.sample(range(400), 6)] + [(0, i) for i in range(3)] + [(1, 5)] * 2
+    stats = spark.range(400).selectExpr("id AS item_id", "5D AS item_avg_rating", "1000 - id AS item_rating_count")
+    rows = spark.createDataFrame(seen, "user_id long, item_id long")
+    held, stage = [], hot.stage
+    monkeypatch.setattr(hot, "stage", lambda df: held.append(stage(df)) or held[-1])
+    monkeypatch.setattr(hot, "HEAD", head)
+    users = spark.range(13).selectExpr("id AS user_id")  # one has seen nothing
+    found: dict = {}
+    for row in hot.hot_recall(users, stats, rows, 5).collect():
+        found.setdefault(row.user_id, set()).add(row.item_id)
+    ranks = sorted(range(400))
+    assert found == {u: set([i for i in ranks if (u, i) not in set(seen)][:5]) for u in range(13)}
+    assert held[-1].count() == len({x for x in seen if x[1] < 5 + 9})
+
+
+def test_popular_items_need_no_cooccurrence(spark, monkeypatch):
+    """The set of listed popular items is read without making the other channel's lists."""
+    monkeypatch.setattr(itemcf, "itemcf_recall", None)
+    assert catalog.QUERIES["jn_8_semi_id_set"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_feature_join_broadcasts_nothing(spark):
+    found = catalog.QUERIES["jn_9_feature_join"](spark, "/root/testdata/sf0.001")
+    assert "Broadcast" not in plan(found)
