@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from itertools import islice
+from operator import itemgetter
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -97,90 +99,71 @@ PROFILE_SCHEMA = T.StructType(
         T.StructField("updated_ts", T.LongType()),
     ]
 )
-STATE_SCHEMA = "ts array<bigint>, event_id array<bigint>, item_id array<bigint>, feedback_type array<string>, value array<double>"
+STATE_SCHEMA = ", ".join(
+    f"{name} array<{kind}>"
+    for name, kind in (
+        ("ts", "bigint"), ("event_id", "bigint"), ("item_id", "bigint"), ("feedback_type", "string"), ("value", "double"),
+        *((f"{part}_{name}", "bigint") for part in ("positive", "negative") for name in ("ts", "event_id", "item_id")),
+    )
+)
+MERGED_ROWS = 1_000  # events of a user that are merged at a time
+
+
+def newest(events: list[tuple], n: int) -> list[tuple]:
+    """The n newest of events (ts, event_id, ...), newest first."""
+    return sorted(events, key=itemgetter(0, 1), reverse=True)[:n]
 
 
-def newest(events: pd.DataFrame, n: int) -> pd.DataFrame:
-    return events.sort_values(EVENT_KEY, ascending=False, kind="stable").head(n)
+def newest_items(events: list[tuple], n: int) -> list[tuple]:
+    """Last event (ts, event_id, item_id) of each item, newest first: what moving an item to the front of a list amounts to."""
+    last: dict = {}
+    for event in sorted(events, key=itemgetter(0, 1), reverse=True):
+        last.setdefault(event[2], event)
+    return list(last.values())[:n]
 
 
-def newest_items(events: pd.DataFrame, n: int) -> pd.DataFrame:
-    """Last event of each item, newest first: what moving an item to the front of a list amounts to."""
-    last = events.sort_values(EVENT_KEY, ascending=False, kind="stable").drop_duplicates("item_id")
-    return last.head(n)
+def columns(events: list[tuple], width: int) -> list[list]:
+    return [list(x) for x in zip(*events, strict=True)] if events else [[] for _ in range(width)]
 
 
 class LiveProfile(StatefulProcessor):
     """Per user: 50 newest events and up to 100 distinct positive and negative items, newest first.
 
     State holds bounded lists with their event keys, so the result does not depend on how events
-    are cut into batches or ordered within one. State of an idle user expires after the TTL.
+    are cut into batches or ordered within one. State of an idle user expires after the TTL. A user costs one reading and
+    one writing of one state value a batch.
     """
 
-    COLUMNS = ["ts", "event_id", "item_id", "feedback_type", "value"]
-
     def __init__(self, ttl_ms: int | None = STATE_TTL_MS):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        names = ("recent", "positive", "negative")
-        self.parts = {name: handle.getValueState(name, STATE_SCHEMA, self.ttl_ms) for name in names}
-
-    def _load(self, name: str) -> pd.DataFrame:
-        state = self.parts[name]
-        values = state.get() if state.exists() else None
-        columns = values if values is not None else [[] for _ in self.COLUMNS]
-        return pd.DataFrame(dict(zip(self.COLUMNS, map(list, columns))))
-
-    def _save(self, name: str, df: pd.DataFrame) -> None:
-        value = df["value"].astype(object).where(df["value"].notna(), None)
-        self.parts[name].update(
-            (
-                df["ts"].astype(int).tolist(),
-                df["event_id"].astype(int).tolist(),
-                df["item_id"].astype(int).tolist(),
-                df["feedback_type"].tolist(),
-                value.tolist(),
-            )
-        )
+        self.lists = handle.getValueState("lists", STATE_SCHEMA, self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues):
-        recent, positive, negative = (self._load(n) for n in ("recent", "positive", "negative"))
-        for chunk in rows:  # chunks are merged one by one, so memory stays bounded
-            events = chunk.rename(columns={"feedback_value": "value"})[self.COLUMNS]
-            kinds = events["feedback_type"]
-            recent = newest(join(recent, events), RECENT_LENGTH)
-            positive = newest_items(join(positive, events[kinds.isin(POSITIVE)]), LIST_LENGTH)
-            negative = newest_items(join(negative, events[kinds.isin(NEGATIVE)]), LIST_LENGTH)
-        for name, df in (("recent", recent), ("positive", positive), ("negative", negative)):
-            self._save(name, df)
-        values = recent["value"].astype(object).where(recent["value"].notna(), None)
-        yield pd.DataFrame(
-            {
-                "user_id": [key[0]],
-                "recent_events": [recent["event_id"].astype(int).tolist()],
-                "recent_items": [recent["item_id"].astype(int).tolist()],
-                "recent_types": [recent["feedback_type"].tolist()],
-                "recent_values": [values.tolist()],
-                "positive_items": [positive["item_id"].astype(int).tolist()],
-                "negative_items": [negative["item_id"].astype(int).tolist()],
-                "updated_ts": [int(recent["ts"].max())],
-            }
+        state = self.lists.get() or [[]] * 11
+        recent, positive, negative = (list(zip(*state[a:b], strict=True)) for a, b in ((0, 5), (5, 8), (8, 11)))
+        rows = iter(rows)
+        while some := list(islice(rows, MERGED_ROWS)):  # merged piece by piece, so memory stays bounded
+            events = [(r["ts"], r["event_id"], r["item_id"], r["feedback_type"], r["feedback_value"]) for r in some]
+            recent = newest(recent + events, RECENT_LENGTH)
+            positive = newest_items(positive + [e[:3] for e in events if e[3] in POSITIVE], LIST_LENGTH)
+            negative = newest_items(negative + [e[:3] for e in events if e[3] in NEGATIVE], LIST_LENGTH)
+        lists = [*columns(recent, 5), *columns(positive, 3), *columns(negative, 3)]
+        self.lists.update(tuple(lists))
+        yield Row(
+            user_id=key[0], recent_events=lists[1], recent_items=lists[2], recent_types=lists[3], recent_values=lists[4],
+            positive_items=lists[7], negative_items=lists[10], updated_ts=recent[0][0],
         )
 
     def close(self) -> None:
         pass
 
 
-def join(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-    parts = [part for part in (old, new) if len(part)]
-    return pd.concat(parts, ignore_index=True) if parts else old
-
-
 def live_profile_stream(events: DataFrame, ttl_ms: int | None = STATE_TTL_MS) -> DataFrame:
     """Updated profile of every user with new events in the batch."""
-    columns = events.select("user_id", "item_id", "feedback_type", "feedback_value", "ts", "event_id")
-    return columns.groupBy("user_id").transformWithStateInPandas(
+    wanted = events.select("user_id", "item_id", "feedback_type", "feedback_value", "ts", "event_id")
+    return wanted.groupBy("user_id").transformWithState(
         statefulProcessor=LiveProfile(ttl_ms),
         outputStructType=PROFILE_SCHEMA,
         outputMode="Update",

@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,15 +34,13 @@ class ExpiringProfile(LiveProfile):
         for profile in super().handleInputRows(key, rows, timerValues):
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
-            self.handle.registerTimer(int(profile["updated_ts"].iloc[0]) // 1000 + self.idle_ms)
-            yield profile.assign(expired=False)
+            self.handle.registerTimer(profile["updated_ts"] // 1000 + self.idle_ms)
+            yield Row(**profile.asDict(), expired=False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        for part in self.parts.values():
-            part.clear()
-        row = {name: [[]] for name in PROFILE_SCHEMA.fieldNames()}
-        row |= {"user_id": [key[0]], "updated_ts": [expiredTimerInfo.getExpiryTimeInMs() * 1000], "expired": [True]}
-        yield pd.DataFrame(row)
+        self.lists.clear()
+        row = {name: [] for name in PROFILE_SCHEMA.fieldNames()}
+        yield Row(**row | {"user_id": key[0], "updated_ts": expiredTimerInfo.getExpiryTimeInMs() * 1000, "expired": True})
 
 
 def expiring_profile_stream(events: DataFrame, idle_ms: int = IDLE_MS, delay: str = "10 minutes") -> DataFrame:
@@ -51,7 +48,7 @@ def expiring_profile_stream(events: DataFrame, idle_ms: int = IDLE_MS, delay: st
     columns = events.withWatermark("created_at", delay).select(
         "user_id", "item_id", "feedback_type", "feedback_value", "ts", "event_id", "created_at"
     )
-    return columns.groupBy("user_id").transformWithStateInPandas(
+    return columns.groupBy("user_id").transformWithState(
         statefulProcessor=ExpiringProfile(idle_ms),
         outputStructType=EXPIRING_SCHEMA,
         outputMode="Update",

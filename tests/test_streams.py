@@ -34,3 +34,22 @@ def test_live_profiles_equal_batch(spark, tmp_path):
     key = lambda df: sorted(map(str, df.collect()))
     assert key(latest) == key(batch)
     assert batch.agg(F.max(F.size("recent_events"))).first()[0] == 50
+
+
+def test_a_user_costs_one_state_value(spark):
+    """A user's lists are read and written once a batch, whatever the number of events."""
+    calls = []
+
+    class Value:
+        def get(self):
+            calls.append("get")
+
+        def update(self, value):
+            calls.append("update")
+
+    profile = fs.LiveProfile(None)
+    profile.init(type("Handle", (), {"getValueState": lambda self, *a: Value()})())
+    event = lambda i: {"ts": i, "event_id": i, "item_id": i % 7, "feedback_type": "click", "feedback_value": None}
+    (row,) = profile.handleInputRows((5,), map(event, range(2500)), None)
+    assert calls == ["get", "update"]
+    assert row["recent_events"] == list(range(2499, 2449, -1)) and sorted(row["positive_items"]) == list(range(7))
