@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quillrec.operators import bitmaps, features, fuse, hot, itemcf, nearest, search
+from quillrec.operators import als, bitmaps, features, fuse, hot, itemcf, nearest, search
 from quillrec.plans import catalog
 from quillrec.sources.domain import Domain
 
@@ -168,3 +168,24 @@ def test_popular_items_need_no_cooccurrence(spark, monkeypatch):
 def test_feature_join_broadcasts_nothing(spark):
     found = catalog.QUERIES["jn_9_feature_join"](spark, "/root/testdata/sf0.001")
     assert "Broadcast" not in plan(found)
+
+
+def test_factor_recall_meets_in_blocks(spark, monkeypatch):
+    """Recall from few factors makes its products in blocks, sized for their dimensions, and equals brute force."""
+    rng = np.random.default_rng(4)
+    users, items = rng.integers(-3, 4, (30, 4)).astype(float), rng.integers(-3, 4, (200, 4)).astype(float)  # many ties
+    rows = lambda v: spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, features array<float>")
+    seen = {(u, int(i)) for u in range(29) for i in rng.integers(0, 200, 1 + u % 5)}
+    monkeypatch.setattr("quillrec.operators.blocks.QUERIES", (4, 8))
+    monkeypatch.setattr("quillrec.operators.blocks.ITEMS", 5)  # of 64 dimensions: 80 of four
+    monkeypatch.setattr("quillrec.operators.blocks.STEP", (7, 9))
+    model = type("Model", (), {"userFactors": rows(users), "itemFactors": rows(items)})()
+    recall = als.als_recall(model, spark.createDataFrame(sorted(seen), "user_id long, item_id long"), 6)
+    assert "CoGroup" in plan(recall)
+    found: dict = {}
+    for r in recall.collect():
+        found.setdefault(r.user_id, set()).add(r.item_id)
+    scores = users @ items.T
+    assert found == {
+        u: {i for _, i in sorted((-scores[u, i], i) for i in range(200) if (u, i) not in seen)[:6]} for u in range(30)
+    }
