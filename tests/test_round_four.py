@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
 import duckdb
+import pytest
 
-from quillrec.operators import usermatch
+from quillrec.operators import alike, usermatch
 
 
 def test_match_scores_round_as_in_sql(spark):
@@ -17,3 +20,54 @@ def test_match_scores_round_as_in_sql(spark):
     values = ", ".join(f"({i}, CAST({s!r} AS DOUBLE))" for i, s in enumerate(scores))
     want = duckdb.sql(f"SELECT i, round(least(greatest(score, 0), 1) * 100, 1) FROM (VALUES {values}) t(i, score)").fetchall()
     assert {(r.user_id, r.match_score) for r in cards} == set(want)
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def small_blocks(monkeypatch):
+    for name, value in {"QUERIES": (2, 4), "TERMS": 8, "ITEMS": 8, "FREQUENT": 2, "STEP": 16}.items():
+        monkeypatch.setattr(alike, name, value)
+
+
+def plain_best(rows, k: int, sign: int = 1):
+    return sorted(rows, key=lambda row: (-row[1], sign * row[0]))[:k]
+
+
+def test_joint_menus_compare_pairs_with_sets_of_tags(spark, small_blocks):
+    """Items nobody shares are ranked in blocks of equal tag sets, not as rows of pair, item and tag; items without any score count."""
+    rng = random.Random(4)
+    tags = {i: sorted(rng.sample("abcd", rng.randrange(4))) for i in range(40)}
+    rating = {i: (rng.choice([0.0, 3.0, 4.5]), rng.choice([0, 10, 90])) for i in tags}
+    favourites = {u: rng.sample("abcdx", rng.randrange(4)) for u in range(8)}
+    rated = {(u, i) for u in range(8) for i in rng.sample(range(40), 6)}
+    pairs = [(u, t) for u in range(9) for t in range(8) if u != t and rng.random() < 0.5]
+    found = usermatch.joint_menu(
+        spark.createDataFrame(pairs, "user_id long, twin_id long"),
+        spark.createDataFrame([(u, i, 3.0, 1) for u, i in rated], "user_id long, item_id long, rating double, ts long"),
+        spark.createDataFrame(list(favourites.items()), "user_id long, favorite_genres array<string>"),
+        spark.createDataFrame(
+            [(i, t[:2], t[1:], *rating[i]) for i, t in tags.items()],
+            "item_id long, genres array<string>, tags array<string>, item_avg_rating double, item_rating_count int",
+        ),
+        k=30,
+    )
+    assert "CoGroup" in plan(found)
+    got: dict = {}
+    for row in found.orderBy("position").collect():
+        got.setdefault((row.user_id, row.twin_id), []).append((row.item_id, row.score))
+    for u, t in pairs:
+        wanted = set(favourites.get(u, [])) | set(favourites[t])
+        scored = [(i, round(2.0 * len(wanted & set(x)) + rating[i][0] + min(rating[i][1], 50) / 50, 6)) for i, x in tags.items() if (u, i) not in rated]
+        assert got[u, t] == plain_best(scored, 30, -1)
+
+
+def test_items_of_equal_terms_are_one_group(spark, monkeypatch):
+    """Of 400 items with three sets of terms three rows are compared; a set of very many items is cut."""
+    items = spark.range(400).selectExpr("id AS item_id", "array(string(id % 3)) AS terms", "array(1D) AS weights", "0D AS value")
+    assert sorted(len(r.ids) for r in alike.alike(items).collect()) == [133, 133, 134]
+    more = spark.range(6000).selectExpr("id AS item_id", "array(string(int(id < 20))) AS terms", "array(1D) AS weights", "0D AS value")
+    cut = alike.alike(more).collect()
+    assert len(cut) == 33 and sum(len(r.ids) for r in cut) == 6000
