@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import random
+from collections import Counter
 
 import duckdb
 import pytest
@@ -94,3 +96,41 @@ def test_items_of_equal_terms_are_one_group(spark, monkeypatch):
     more = spark.range(6000).selectExpr("id AS item_id", "array(string(int(id < 20))) AS terms", "array(1D) AS weights", "0D AS value")
     cut = alike.alike(more).collect()
     assert len(cut) == 33 and sum(len(r.ids) for r in cut) == 6000
+
+
+@pytest.mark.parametrize("short", [100_000, 0])
+def test_content_recall_compares_users_with_different_texts(spark, small_blocks, monkeypatch, short):
+    """Lists equal brute force over all items, those of one text too, and are filled past what is seen; no tree of cells is visited."""
+    monkeypatch.setattr(content, "SHORT", short)
+    rng = random.Random(11)
+    texts = {i: " ".join(rng.choice(["red", "blue", "big", "old"]) for _ in range(rng.randrange(1, 4))) for i in range(40)}
+    favourites = {u: (rng.sample(["red", "old", "new"], rng.randrange(3)), rng.sample(range(40), rng.randrange(1, 4))) for u in range(9)}
+    seen = {(u, i) for u, (_, liked) in favourites.items() for i in [*liked, *rng.sample(range(40), 5)]}
+    found = content.content_recall(
+        spark.createDataFrame([(u, *x) for u, x in favourites.items()], "user_id long, favorite_genres array<string>, liked_items array<long>"),
+        None,
+        spark.createDataFrame(list(texts.items()), "item_id long, text string"),
+        spark.createDataFrame(sorted(seen), "user_id long, item_id long"),
+        12,
+    )
+    assert "CoGroup" in plan(found)
+
+    def terms(text):
+        words = text.split()
+        return Counter([*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))])
+
+    df = Counter(t for text in texts.values() for t in terms(text))
+    df = {t: sum(t in terms(text) for text in texts.values()) for t in df}
+
+    def unit(text):
+        w = {t: n * (math.log(41 / (1 + df[t])) + 1) for t, n in terms(text).items() if t in df}
+        length = math.sqrt(sum(x * x for x in w.values()))
+        return {t: x / length for t, x in w.items()}
+
+    got: dict = {}
+    for row in found.collect():
+        got.setdefault(row.user_id, []).append((row.item_id, row.score))
+    for u, (genres, liked) in favourites.items():
+        mine = unit(" ".join([*genres, *(texts[i] for i in liked)]))
+        scores = [(i, round(sum(mine.get(t, 0) * x for t, x in unit(text).items()), 6)) for i, text in texts.items() if (u, i) not in seen]
+        assert plain_best(got.get(u, []), 12) == plain_best([x for x in scores if x[1] > 0], 12)
