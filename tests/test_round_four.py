@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import math
 import random
 from collections import Counter
@@ -9,7 +10,8 @@ from collections import Counter
 import duckdb
 import pytest
 
-from quillrec.operators import alike, content, usermatch
+from quillrec.operators import alike, content, models, usermatch
+from quillrec.plans import rank_queries
 
 
 def test_match_scores_round_as_in_sql(spark):
@@ -134,3 +136,30 @@ def test_content_recall_compares_users_with_different_texts(spark, small_blocks,
         mine = unit(" ".join([*genres, *(texts[i] for i in liked)]))
         scores = [(i, round(sum(mine.get(t, 0) * x for t, x in unit(text).items()), 6)) for i, text in texts.items() if (u, i) not in seen]
         assert plain_best(got.get(u, []), 12) == plain_best([x for x in scores if x[1] > 0], 12)
+
+
+def test_model_selection_grows_all_trees(monkeypatch):
+    """The query leaves the number of trees to the operator, whose number is the whole one."""
+    asked: dict = {}
+    monkeypatch.setattr(rank_queries, "train_table", lambda d: None)
+    monkeypatch.setattr(rank_queries, "stage", lambda df: df)
+    monkeypatch.setattr(models, "split_by_user", lambda df: (None, None))
+    signature = inspect.signature(models.select_model)
+    monkeypatch.setattr(models, "select_model", lambda *a, **b: (None, asked.update(signature.bind(*a, **b).arguments)))
+    rank_queries.model_selection(None)
+    assert asked.get("rounds", signature.parameters["rounds"].default) == 120
+
+
+def test_model_selection_deals_rows_out_once(spark, monkeypatch):
+    """Five models are trained on one dealt table and compared by metrics that are worked out once."""
+    rows = spark.range(400).selectExpr("id % 40 AS user_id", "double(id % 7) AS a", "double(id % 5) AS b", "int(id % 7 > 2) AS label")
+    train, valid = rows.where("user_id < 30"), rows.where("user_id >= 30")
+    calls = []
+    dealt = models.training_rows
+    monkeypatch.setattr(models, "training_rows", lambda *a, **b: calls.append(a) or dealt(*a, **b))
+    winner, table = models.select_model(train, valid, ["a", "b"], rounds=2)
+    assert len(calls) == 1 and "Aggregate" not in plan(table) and "UDF" not in plan(table)
+    got = {r.model: r for r in table.collect()}
+    assert len(got) == 5 and winner.name in got and all(r.auc == 1.0 and r.accuracy > 0.8 for r in got.values())
+    one = models.classification_metrics(winner.scored(valid.where("label = 1")), "x").first()
+    assert (one.auc, one.logloss) == (0.0, 0.0)
