@@ -8,9 +8,11 @@ import random
 from collections import Counter
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from quillrec.operators import alike, content, models, usermatch
+from quillrec.operators import alike, blocks, content, models, usermatch
 from quillrec.plans import rank_queries
 
 
@@ -163,3 +165,29 @@ def test_model_selection_deals_rows_out_once(spark, monkeypatch):
     assert len(got) == 5 and winner.name in got and all(r.auc == 1.0 and r.accuracy > 0.8 for r in got.values())
     one = models.classification_metrics(winner.scored(valid.where("label = 1")), "x").first()
     assert (one.auc, one.logloss) == (0.0, 0.0)
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e4])
+def test_products_that_cannot_count_are_not_made(monkeypatch, scale):
+    """Best items equal brute force, ties and near ties too; most queries pass by the items that point away from them."""
+    rng = np.random.default_rng(8)
+    queries = rng.normal(size=(40, 5)) * 0.2 + 1
+    items = rng.normal(size=(300, 5)) * 0.2 + rng.choice([-1.0, 1.0], size=(300, 1))
+    items[40:60] = items[:20]
+    items[60:80] = items[:20] + 1e-9
+    items *= scale
+    k = rng.integers(1, 30, 40).astype(np.int32)
+    k[0] = 400
+    monkeypatch.setattr(blocks, "STEP", (7, 20))
+    met = []
+    reaching = blocks._Items.reaching
+    monkeypatch.setattr(blocks._Items, "reaching", lambda self, asked, *a: met.append(len(asked)) or reaching(self, asked, *a))
+    lists = lambda x: pa.array(x.tolist(), pa.list_(pa.float64()))
+    found = blocks._searched(
+        pa.table({"query_id": np.arange(40), "k": k, "vector": lists(queries)}), pa.table({"item_id": np.arange(300), "vector": lists(items)})
+    ).to_pylist()
+    scores = np.round(queries @ items.T, 6)
+    for q in range(40):
+        want = sorted(range(300), key=lambda i: (-scores[q, i], i))[: k[q]]
+        assert [r["item_id"] for r in sorted((r for r in found if r["query_id"] == q), key=lambda r: (-r["score"], r["item_id"]))] == want
+    assert sum(met) < 0.6 * 40 * 14
